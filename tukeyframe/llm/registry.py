@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tukeyframe.llm import secrets
+from tukeyframe.llm import langid, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = langid.identify(documents.select("doc_id", "text"), langid.fit(documents))
+    return found.select("doc_id", (langid.remainder(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
+    "op2_warc_normaliser": op2_warc_normaliser,
+    "op8_language_id": op8_language_id,
     "op7_secret_scan": op7_secret_scan,
 }
 
