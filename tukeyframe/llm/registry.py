@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tukeyframe.llm import langid, secrets, warc
+from tukeyframe.llm import langid, packing, secrets, sharding, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,67 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.remainder(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+#: Bytes of text that a shard may hold.
+SHARD_BYTES = 1 << 20
+
+
+def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_extendible_hashing": op4_extendible_hashing,
+    "op6_exact_topk": op6_exact_topk,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op2_warc_normaliser": op2_warc_normaliser,
     "op8_language_id": op8_language_id,
     "op7_secret_scan": op7_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # base32 takes five bits at a time, which lie within two digits of the hexadecimal digest
+    "op2_warc_normaliser": """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+w AS (SELECT hex, max(page_id) AS winner FROM p GROUP BY hex)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+         (((instr('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 16
+           + instr('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1) >> CAST(3 - 5 * i % 4 AS BIGINT)) & 31) AS BIGINT), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id <> winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM p JOIN w USING (hex)
+""",
+    # the depth of a row's shard is the least at which the rows that share its prefix fit
+    "op4_extendible_hashing": f"""
+WITH r AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+d AS (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 61)),
+s AS (SELECT depth, h >> (60 - depth) AS p, sum(bytes) AS total FROM r, d GROUP BY ALL),
+m AS (SELECT h, min(s.depth) AS depth FROM (SELECT DISTINCT h FROM r) k, s
+      WHERE s.p = k.h >> (60 - s.depth) AND (s.total <= {SHARD_BYTES} OR s.depth = 60) GROUP BY h)
+SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard
+FROM r JOIN m USING (h)
+""",
+    "op6_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}
