@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tukeyframe.llm import langid, packing, secrets, sharding, topk, warc
+from tukeyframe.llm import langid, packing, quotes, secrets, sharding, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op1_quotation_linking": op1_quotation_linking,
     "op4_extendible_hashing": op4_extendible_hashing,
     "op6_exact_topk": op6_exact_topk,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -52,6 +57,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quotation_linking": quotes.SQL.format(table="conversations"),
     # base32 takes five bits at a time, which lie within two digits of the hexadecimal digest
     "op2_warc_normaliser": """
 WITH p AS (
