@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tukeyframe.llm import langid, packing, quotes, secrets, sharding, topk, warc
+from tukeyframe.llm import langid, neardup, packing, quotes, secrets, sharding, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.remainder(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
 
@@ -48,6 +52,7 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quotation_linking": op1_quotation_linking,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_extendible_hashing": op4_extendible_hashing,
     "op6_exact_topk": op6_exact_topk,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -71,6 +76,20 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> winner THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id <> winner THEN winner END AS refers_to
 FROM p JOIN w USING (hex)
+""",
+    "op3_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.m = e.a),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """,
     # the depth of a row's shard is the least at which the rows that share its prefix fit
     "op4_extendible_hashing": f"""
