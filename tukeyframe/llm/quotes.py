@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tukeyframe.llm import scratch
+from tukeyframe.llm.native import hold
 
 MARKS = r"^((?:[ \t]*>)*)"
 #: A line just before a quote that says whose it is.
@@ -37,11 +38,11 @@ def parse(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     rows = messages.select(F.col(conversation).alias("conv"), F.col(turn).cast("long").alias("turn"), lines.alias("line"))
     marks = F.transform("line", lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), r"[ \t]", "")))
     rest = F.transform("line", lambda x: F.trim(F.regexp_replace(x, MARKS, "")))
-    rows = rows.withColumn("level", marks).withColumn("rest", rest).drop("line")
+    rows = hold(rows, level=marks, rest=rest).drop("line")
     at = lambda c, i: F.get(F.col(c), i)
     quoted_next = lambda i: F.coalesce(at("level", i + 1) > at("level", i), F.lit(False))
     said = F.transform("rest", lambda x, i: x.rlike(ATTRIBUTION) & quoted_next(i))
-    rows = rows.withColumn("said", said)
+    rows = hold(rows, said=said)
     blank = lambda i: (at("rest", i) == "") | at("said", i)
     starts = F.filter(
         F.sequence(F.lit(0), F.size("rest") - 1),
@@ -51,7 +52,7 @@ def parse(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn"
         F.sequence(F.lit(0), F.size("rest") - 1),
         lambda i: ~blank(i) & ((i == F.size("rest") - 1) | (at("level", i) != at("level", i + 1)) | blank(i + 1)),
     )
-    rows = rows.withColumn("starts", starts).withColumn("ends", ends)
+    rows = hold(rows, starts=starts, ends=ends)
     passages = F.transform(
         "starts",
         lambda s, k: F.struct(at("level", s).alias("level"), F.array_join(F.slice("rest", s + 1, at("ends", k) - s + 1), "\n").alias("text")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tukeyframe.llm import langid, neardup, packing, quotes, secrets, sharding, topk, warc
+from tukeyframe.llm import decontaminate, langid, neardup, packing, quotes, secrets, sharding, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_quotation_linking": op1_quotation_linking,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_extendible_hashing": op4_extendible_hashing,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_exact_topk": op6_exact_topk,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op2_warc_normaliser": op2_warc_normaliser,
@@ -104,6 +109,7 @@ m AS (SELECT h, min(s.depth) AS depth FROM (SELECT DISTINCT h FROM r) k, s
 SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard
 FROM r JOIN m USING (h)
 """,
+    "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
