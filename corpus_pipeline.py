@@ -1,14 +1,51 @@
-"""The corpus pipeline: stages that each work on all that the stage before has kept."""
+"""The corpus pipeline: stages that each work on all that the stage before has kept.
+
+Language ID drops documents that it rejects, near-dedup keeps one document of each group, decontamination drops documents
+that hold benchmark items, the secret scan redacts what it finds, and packing gives each document its places in sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tukeyframe.llm import decontaminate, langid, neardup, packing, scratch, secrets
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the models accept. Documents without letters, or unlike all languages, go."""
+    return langid.identify(docs, langid.fit(docs)).where(~F.col("rejected")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without items of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a placeholder; n_chars follows the new text."""
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its bin and place."""
+    return packing.pack_documents(docs)
 
-from tukeyframe.llm import scratch
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
 
-#: Language models, MinHash components and packing have no SQL form; tests compare the stages with brute force.
+#: Language models and packing have no SQL form; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 

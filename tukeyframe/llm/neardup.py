@@ -240,3 +240,19 @@ def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", p
     out = described.select("doc_id", "n", linkable.alias("node")).join(labels, "node", "left")
     component = F.coalesce("component", "doc_id")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """documents with one document a component: rows of other ids than its smallest go, and copies of a row but for one.
+
+    Rows with a null id stay. Only the ids that go, and ids that occur more than once, are joined to the documents.
+    """
+    found = scratch.materialise(deduplicate(documents, key, text).select(F.col(key).alias("_key"), "kept"), "verdicts")
+    ids = found.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("kept").alias("all"), F.max("kept").alias("any"), F.count(F.lit(1)).alias("c"))
+    odd = scratch.materialise(ids.where(~F.col("all") | (F.col("c") > 1)).select("_key", (F.col("any") & (F.col("c") > 1)).alias("_repeated")), "odd")
+    joined = documents.join(odd, F.col(key) == F.col("_key"), "left")
+    single = joined.where(F.col("_key").isNull()).select(*documents.columns)
+    if odd.where("_repeated").isEmpty():
+        return single
+    repeated = documents.join(odd.where("_repeated"), F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key, text])
+    return single.unionByName(repeated.select(*documents.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tukeyframe.llm import decontaminate, langid, neardup, packing, quotes, secrets, sharding, topk, warc
+from tukeyframe.llm import cotrain, decontaminate, langid, neardup, packing, quotes, secrets, sharding, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return cotrain.score(documents, cotrain.fit(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_quotation_linking": op1_quotation_linking,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_warc_normaliser": op2_warc_normaliser,
     "op8_language_id": op8_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op10_quality_cotraining": op10_quality_cotraining,
 }
 
 ORACLE_SQL: dict[str, str] = {
