@@ -108,7 +108,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, ke
 
 def clean(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """documents without the contaminated ones; rows with a null id stay."""
-    return documents.join(matches(documents, benchmark, share, key, text).select(key).distinct(), key, "left_anti").select(*documents.columns)
+    found = scratch.materialise(matches(documents, benchmark, share, key, text).select(key).distinct(), "contaminated")
+    return documents.join(scratch.small(found), key, "left_anti").select(*documents.columns)
 
 
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"

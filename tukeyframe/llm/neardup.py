@@ -60,7 +60,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
             nodes = pa.array([shingles.digest(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    ids = scratch.small(scratch.materialise(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "node binary, set binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -170,8 +170,8 @@ def links(described: DataFrame, documents: DataFrame, key: str = "doc_id", text:
     classes = scratch.materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     reps = full.select("doc_id", "node", "bands").join(classes.select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"])
     keys = reps.select(F.explode("bands").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = scratch.materialise(keys.join(shared, "key").distinct(), "members")
+    shared = scratch.materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared")
+    members = scratch.materialise(keys.join(scratch.small(shared), "key").distinct(), "members")
     wanted = classes.join(members.select("node").distinct(), "node")
     items = scratch.materialise(_families(members).join(wanted.select("node", "n"), "node"), "items")
     meetings = scratch.materialise(_meetings(items), "meetings")
@@ -250,9 +250,8 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     found = scratch.materialise(deduplicate(documents, key, text).select(F.col(key).alias("_key"), "kept"), "verdicts")
     ids = found.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("kept").alias("all"), F.max("kept").alias("any"), F.count(F.lit(1)).alias("c"))
     odd = scratch.materialise(ids.where(~F.col("all") | (F.col("c") > 1)).select("_key", (F.col("any") & (F.col("c") > 1)).alias("_repeated")), "odd")
-    joined = documents.join(odd, F.col(key) == F.col("_key"), "left")
-    single = joined.where(F.col("_key").isNull()).select(*documents.columns)
+    single = documents.join(scratch.small(odd), F.col(key) == F.col("_key"), "left_anti")
     if odd.where("_repeated").isEmpty():
         return single
     repeated = documents.join(odd.where("_repeated"), F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key, text])
-    return single.unionByName(repeated.select(*documents.columns))
+    return single.unionByName(repeated)

@@ -10,6 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of one or two numbers that may be broadcast: some 30 MB in an executor.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +40,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most that many rows (of a few numbers each); else joined by a shuffle.
+
+    df should be a written table, since its rows are counted.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files behind a table that materialise() returned."""
     spark = df.sparkSession
