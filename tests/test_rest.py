@@ -80,7 +80,7 @@ def test_planted_counts_by_every_function(spark, file):
     for name in ("iqr_flags", "iqr_flags_only", "iqr_cpu_flags", "iqr_cpu_flags_groupby"):
         row = sql.sql(spark, f"SELECT count(*) AS n, count(*) FILTER (WHERE is_outlier) AS o FROM {name}('{quoted}', 'v') -- {name}('x', 'y')").first()
         assert (row.n, row.o) == (30_000, 30)
-    assert sql.sql(spark, f"SELECT 'iqr_flags(''a'', ''b'')' AS s, count(*) AS n FROM read_columns('{quoted}') WHERE v > 5000000").first().asDict() == {"s": "iqr_flags('a', 'b')", "n": 30}
+    assert sql.sql(spark, f"SELECT 'iqr_flags(''a'', ''b'')' AS s, count(*) AS n FROM read_columns('{quoted}') WHERE v >= 5000000").first().asDict() == {"s": "iqr_flags('a', 'b')", "n": 30}
     assert sql.sql(spark, "SELECT * FROM decoder_profiler()").columns[0] == "lane"
     assert sql.sql(spark, "SELECT * FROM iqr_profiler()").count() == 1
     with pytest.raises(ValueError):
