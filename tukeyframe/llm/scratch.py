@@ -43,9 +43,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if it has at most that many rows (of a few numbers each); else joined by a shuffle.
 
-    df should be a written table, since its rows are counted.
+    df should be a written table: its rows are counted, which for Parquet takes only the footers.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def remove(df: DataFrame) -> None:
