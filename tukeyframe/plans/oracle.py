@@ -138,7 +138,7 @@ SELECT n, round(m3 / pow(m2, 1.5), 9) AS skew, round(m4 / (m2 * m2) - 3, 9) AS k
     "scan_filter": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.02",
     "scan_count_only": "SELECT count(*) AS n FROM lineitem",
     "scan_min_max": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus")),
-    "scan_ordered": "SELECT row_number() OVER () - 1 AS row_index, event_id FROM events LIMIT 100",
+    "scan_ordered": "SELECT row_number() OVER () - 1 AS row_index, event_id FROM events",
     "scan_strings": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",
     "scan_multi_file": "SELECT n_regionkey, count(*) * 2 AS n FROM nation GROUP BY n_regionkey",
     "scan_row_groups": "SELECT c AS path_in_schema, n_values, t AS type FROM (SELECT count(*) AS n_values FROM orders), (VALUES ('o_orderkey', 'INT64'), ('o_custkey', 'INT64'), ('o_orderstatus', 'BYTE_ARRAY'), ('o_totalprice', 'DOUBLE'), ('o_orderdate', 'INT64'), ('o_orderpriority', 'BYTE_ARRAY')) t(c, t)",
@@ -165,4 +165,10 @@ SELECT n, round(m3 / pow(m2, 1.5), 9) AS skew, round(m4 / (m2 * m2) - 3, 9) AS k
     "compose_topk": f"SELECT k, v FROM ({EVENTS}) ORDER BY v DESC, k LIMIT 20",
     "compose_union_all": exact_count(f"SELECT v FROM ({EVENTS}) UNION ALL SELECT v FROM ({src('documents')})"),
     "compose_distinct": "SELECT count(DISTINCT l_suppkey) AS n_suppliers, bool_or(l_quantity > 49) AS any_large, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS return_flags FROM lineitem",
+    "scalar_math": f"""SELECT k, v // 1000 AS quotient, v % 1000 AS remainder, v >> 4 AS right_shift, v * 8 AS left_shift, greatest(v, 0) AS at_least_0, least(v, 500000) AS at_most,
+CAST(ceil(v / 7) AS BIGINT) AS up, CAST(floor(v / 7) AS BIGINT) AS down, nullif(v % 5, 0) AS not_0, round(log2(abs(v) + 1.0::DOUBLE), 6) AS bits FROM ({src('customer')})""",
+    "case_and_text": "SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'large' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'small' END AS kind, printf('%08d-%s', o_orderkey, o_orderstatus) AS label, o_orderpriority || '/' || o_orderstatus AS both FROM orders",
+    "list_index": f"WITH q AS (SELECT quantile_disc(v, [0.25, 0.75]) AS q FROM ({src('orders')})) SELECT q[1] AS first, q[2] AS second, len(q) AS n FROM q",
+    "having_distinct_flags": exact_rows("SELECT user_id AS k, CAST(round(value * 100) AS BIGINT) AS v FROM events", "k AS user_id").join(("SELECT user_id, count(DISTINCT is_outlier) AS n_flags, bool_or(is_outlier) AS any_outlier FROM (", ") GROUP BY user_id HAVING count(DISTINCT is_outlier) > 1")),
+    "session_variable": f"WITH s AS ({EVENTS}) SELECT count(*) AS n FROM s WHERE v > (SELECT max(v) // 2 FROM s)",
 }

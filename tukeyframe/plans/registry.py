@@ -233,9 +233,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scan_ordered")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows of the file, in its order."""
-    rows = parquet.with_row_index(table(spark, sf_dir, "events")).orderBy("file_path", "row_index").limit(100)
-    return rows.select("row_index", "event_id")
+    """All rows of the file, in its order."""
+    return parquet.ordered(table(spark, sf_dir, "events")).select("row_index", "event_id")
 
 
 @query("scan_strings")
@@ -337,3 +336,57 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     return rows.agg(F.count_distinct("l_suppkey").alias("n_suppliers"), F.bool_or(F.col("l_quantity") > 49).alias("any_large"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("return_flags"))
+
+
+# scalar functions that the analysis queries use
+@query("scalar_math")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    return values(spark, sf_dir, "customer").select(
+        "k",
+        F.call_function("div", v, F.lit(1000)).alias("quotient"),
+        (v % 1000).alias("remainder"),
+        F.call_function("shiftright", v, F.lit(4)).alias("right_shift"),
+        F.call_function("shiftleft", v, F.lit(3)).alias("left_shift"),
+        F.greatest(v, F.lit(0)).alias("at_least_0"),
+        F.least(v, F.lit(500_000)).alias("at_most"),
+        F.ceil(v / 7).cast("long").alias("up"),
+        F.floor(v / 7).cast("long").alias("down"),
+        F.nullif(v % 5, F.lit(0)).alias("not_0"),
+        F.round(F.log2(F.abs(v) + 1.0), 6).alias("bits"),
+    )
+
+
+@query("case_and_text")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_totalprice") > 400_000, "large").when(F.col("o_totalprice") > 100_000, "middle").otherwise("small")
+    return rows.select("o_orderkey", kind.alias("kind"), F.format_string("%08d-%s", "o_orderkey", "o_orderstatus").alias("label"), F.concat("o_orderpriority", F.lit("/"), "o_orderstatus").alias("both"))
+
+
+@query("list_index")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = quartiles.listed(values(spark, sf_dir, "orders"), "v").select(F.array("q1", "q3").alias("q"))
+    return both.select(F.element_at("q", 1).alias("first"), F.element_at("q", 2).alias("second"), F.size("q").cast("long").alias("n"))
+
+
+@query("having_distinct_flags")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose events have both flags."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.expr(hundredths("value")).alias("v"))
+    flagged = flags.iqr_exact(rows, "v", "cdf", keep=("user_id",))
+    return flagged.groupBy("user_id").agg(F.count_distinct("is_outlier").alias("n_flags"), F.bool_or("is_outlier").alias("any_outlier")).where("n_flags > 1")
+
+
+@query("approx_distinct")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, sf_dir, "extprice").agg(F.approx_count_distinct("v").alias("n_distinct"))
+
+
+@query("session_variable")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold kept in a session variable and used by a later statement."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("session_events")
+    spark.sql("DECLARE OR REPLACE VARIABLE threshold BIGINT")
+    spark.sql(f"SET VARIABLE threshold = (SELECT max({hundredths('value')}) div 2 FROM session_events)")
+    return spark.sql(f"SELECT count(*) AS n FROM session_events WHERE {hundredths('value')} > threshold")
