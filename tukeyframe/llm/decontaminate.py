@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
-Texts become template tokens: numbers, names and units are replaced by typed placeholders, everything else is the word in lower
-case without the punctuation around it. A window of WINDOW tokens is a hash; windows of documents meet those of the benchmark
+Texts become template tokens: punctuation goes, numbers, names (capitalised words within a sentence) and units are replaced by
+typed placeholders, everything else is the word in lower case. A window of WINDOW tokens is a hash; windows of documents meet those of the benchmark
 in a hash join. Matches of a document and an item on one alignment (document position less item position) are an
 occurrence, and count only if the slots agree: each slot value of the item stands for one value in the document, and
 two values for two. A document is contaminated by an item if consistent occurrences cover ``share`` of the item's windows.
@@ -25,57 +25,73 @@ from tukeyframe.llm.native import hold
 
 WINDOW, SHORTEST, LITERAL, SHARE = 8, 5, 4, 0.25
 BROADCAST = 1_000_000
-SPACES = r"[ \t\n\r\f\x0B]+"
+SPACES = " \t\n\r\f\x0B"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…—–¿¡"
-CLOSING = "\"')]»”’"
-NAME, NUMBER, UNIT, AMOUNT = "\u0001", "\u0002", "\u0003", "\u0004"
+ENDING = ".!?:"
+NAME, NUMBER, UNIT, AMOUNT, STOP = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
 UNITS = (
     "km m cm mm kg g mg l ml h min s mph kmh mile miles foot feet inch inches yard yards pound pounds ounce ounces dollar dollars "
     "euro euros cent cents percent hour hours minute minutes second seconds day days week weeks month months year years degree degrees"
 ).split()
-NUMBER_PATTERN = r"^[0-9][0-9.,:/]*$"
-AMOUNT_PATTERN = rf"^[0-9][0-9.,]*({'|'.join(UNITS)})$"
-NAME_PATTERN = r"^\p{Lu}\p{Ll}"
-
-
-def tokens(df: DataFrame, text: Column) -> DataFrame:
-    """df with the arrays t (template tokens) and v (values of slots, null elsewhere)."""
-    parts = F.split(F.coalesce(text.cast("string"), F.lit("")), SPACES, -1)
-    bare = lambda x: F.btrim(x, F.lit(PUNCTUATION))
-    df = hold(df, raw=F.filter(parts, lambda x: bare(x) != ""))
-    df = hold(df, core=F.transform("raw", bare), ends=F.transform("raw", lambda x: F.right(F.rtrim(x, F.lit(CLOSING)), F.lit(1)).isin(".", "!", "?", ":")))
-    before = lambda c, first: F.slice(F.concat(F.array(F.lit(first)), F.col(c)), 1, F.size(c))
-    zipped = F.arrays_zip(F.col("core"), F.transform(before("core", ""), lambda x: x.rlike(NUMBER_PATTERN)).alias("amount"), before("ends", True).alias("opens"))
-    df = hold(df, zipped=zipped)
-
-    def template(x: Column) -> Column:
-        core, after_number, opens = x["core"], x["amount"], x["opens"]
-        return (
-            F.when(core.rlike(NUMBER_PATTERN), NUMBER)
-            .when(core.rlike(AMOUNT_PATTERN), AMOUNT)
-            .when(after_number & F.lower(core).isin(*UNITS), UNIT)
-            .when(~opens & core.rlike(NAME_PATTERN), NAME)
-            .otherwise(F.lower(core))
-        )
-
-    df = hold(df, t=F.transform("zipped", template))
-    slot = lambda t: t.isin(NAME, NUMBER, UNIT, AMOUNT)
-    return hold(df, v=F.zip_with("t", "core", lambda t, c: F.when(slot(t), F.lower(c)))).drop("raw", "core", "ends", "zipped")
-
-
-def windows(df: DataFrame, keep: list[str], size: Column | int) -> DataFrame:
-    """A row for each window of size tokens: keep, h, at, the window's values, its literal words; from tokens()."""
-    hashed = hold(df, h=F.transform("t", lambda x: F.xxhash64(x)), w=F.transform("v", lambda x: F.when(x.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(x))))
+
+
+def _class(chars: str) -> str:
+    """Characters for use within brackets of a pattern."""
+    return "".join(f"\\{c}" if c in "[]\\^-&~" else c for c in chars)
+
+
+_WS, _UNIT = _class(SPACES), "|".join(UNITS)
+_INNER = _class("".join(c for c in PUNCTUATION if c not in ENDING))
+_END = f"(?![^{_WS}{STOP}])"
+
+
+def _words(text: Column) -> Column:
+    """The text without punctuation; ends of sentences (punctuation before white space) become STOP."""
+    bare = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"[{_INNER}]+", "")
+    return F.regexp_replace(F.regexp_replace(bare, f"[{ENDING}]+(?![^{_WS}])", STOP), f"[{ENDING}]+", "")
+
+
+def _cut(words: Column) -> Column:
+    return F.array_remove(F.split(F.btrim(F.lower(words), F.lit(SPACES + STOP)), f"[{_WS}{STOP}]+", -1), "")
+
+
+def _slots(words: Column) -> Column:
+    """Numbers, amounts (a number with its unit), units after numbers, and names within sentences replaced.
+
+    The patterns begin with what is rare in a text, and never join or split words.
+    """
+    x = F.regexp_replace(words, f"(^|[{_WS}{STOP}])[0-9]+{_END}", f"$1{NUMBER}")
+    x = F.regexp_replace(x, f"(^|[{_WS}{STOP}])[0-9]+(?:{_UNIT}){_END}", f"$1{AMOUNT}")
+    x = F.regexp_replace(x, f"({NUMBER}[{_WS}{STOP}]*[{_WS}])(?:{_UNIT}){_END}", f"$1{UNIT}")
+    x = F.when(words.rlike("[0-9]"), x).otherwise(words)
+    return F.regexp_replace(x, f"([{_WS}]+)(?=\\p{{Lu}}\\p{{Ll}})(?<=[^{_WS}{STOP}][{_WS}]{{1,20}})[^{_WS}{STOP}]+", f"$1{NAME}")
+
+
+def tokens(df: DataFrame, text: Column, values: bool = True) -> DataFrame:
+    """df with the arrays h (hashes of template tokens) and, if wanted, w (hashes of slot values, 0 for literal tokens)."""
+    if not values:
+        df = hold(hold(df, words=_words(text)), t=_cut(_slots(F.col("words"))))
+        return hold(df, h=F.transform("t", lambda x: F.xxhash64(x))).drop("t", "words")
+    df = hold(df, words=_words(text))
+    df = hold(df, t=_cut(_slots(F.col("words"))), c=_cut(F.col("words")))
+    w = F.zip_with("t", "c", lambda t, c: F.when(t.isin(NAME, NUMBER, UNIT, AMOUNT), F.xxhash64(c)).otherwise(F.lit(0).cast("long")))
+    return hold(df, h=F.transform("t", lambda x: F.xxhash64(x)), w=w).drop("t", "c", "words")
+
+
+def windows(df: DataFrame, keep: list[str], size: Column | int, values: bool = True) -> DataFrame:
+    """A row for each window of size tokens, from tokens(): keep, size, h and, with values, the position and slot values."""
     size = F.lit(size) if isinstance(size, int) else size
     at = F.when(F.size("h") >= size, F.sequence(F.lit(1), F.size("h") - size + 1)).otherwise(F.array().cast("array<int>"))
+    if not values:
+        return df.select(*keep, size.alias("size"), F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("h", i, size)))).alias("h"))
     each = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("h", i, size)).alias("h"), F.slice("w", i, size).alias("w")))
-    return hashed.select(*keep, size.alias("size"), F.explode(each).alias("x")).select(*keep, "size", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.w").alias("w"))
+    return df.select(*keep, size.alias("size"), F.explode(each).alias("x")).select(*keep, "size", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.w").alias("w"))
 
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """The windows that count: item (distinct), size, h, at, w, n (distinct windows of the item)."""
     items = tokens(benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), F.col(text).alias("text")), F.col("text"))
-    items = items.where(F.size("t") >= SHORTEST)
+    items = items.where(F.size("h") >= SHORTEST)
     every = windows(items, ["item_id"], F.least(F.lit(WINDOW), F.size("h")))
     literal = F.size(F.filter("w", lambda x: x == 0))
     ranked = every.withColumn("good", literal >= LITERAL)
@@ -89,11 +105,19 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, ke
     own = benchmark_windows(benchmark, item).select("item_id", "size", "h", F.col("at").alias("item_at"), F.col("w").alias("item_w"), "n").distinct()
     theirs = scratch.materialise(own, "benchmark-windows")
     facts = theirs.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most WINDOW sizes
-    docs = tokens(documents.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")), F.col("text")).drop("text")
     sizes = sorted(facts["sizes"]) or [WINDOW]
-    per_size = windows(docs, ["doc_id"], sizes[0]) if len(sizes) == 1 else windows(docs.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))), ["doc_id"], F.col("_size"))
-    small = F.broadcast(theirs) if facts["n"] <= BROADCAST else theirs
-    hits = per_size.join(small, ["size", "h"])
+    join = F.broadcast if facts["n"] <= BROADCAST else (lambda x: x)
+
+    def every(rows: DataFrame, values: bool) -> DataFrame:
+        docs = tokens(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")), F.col("text"), values).drop("text")
+        if len(sizes) == 1:
+            return windows(docs, ["doc_id"], sizes[0], values)
+        return windows(docs.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))), ["doc_id"], F.col("_size"), values)
+
+    # first the documents that share a window at all, then slots and alignment of these
+    near = every(documents, False).join(join(theirs.select("size", "h").distinct()), ["size", "h"], "left_semi").select(F.col("doc_id").alias(key)).distinct()
+    near = scratch.small(scratch.materialise(near, "near-benchmark"))
+    hits = every(documents.join(near, key, "left_semi"), True).join(join(theirs), ["size", "h"])
     hits = hits.select("doc_id", "item_id", "h", "n", (F.col("at") - F.col("item_at")).alias("shift"), F.explode(F.arrays_zip(F.col("item_w").alias("i"), F.col("w").alias("d"))).alias("p"))
     # a window without slots still is a row a token; the literal tokens carry 0 on both sides and so always agree
     occurrence = hits.groupBy("doc_id", "item_id", "shift", "n", "h", "p").agg(F.count(F.lit(1)).alias("_")).drop("_")
@@ -113,22 +137,25 @@ def clean(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, key:
 
 
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
-#: The same in DuckDB SQL, windows compared as text.
+_sql_class = lambda s: _class(s).replace("'", "''")
+_inner_chars = "".join(c for c in PUNCTUATION if c not in ENDING)
+#: The same in DuckDB SQL, word by word and with windows compared as text.
 SQL = rf"""
 WITH src AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL
   SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
-raw AS (SELECT side, id, list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda x: trim(x, {_quoted(PUNCTUATION)}) <> '') AS r FROM src),
+q AS (SELECT side, id, regexp_replace(regexp_replace(coalesce(text, ''), '[{_sql_class(_inner_chars)}]+', '', 'g'), '[{ENDING}]+([{_sql_class(SPACES)}]|$)', chr(5) || '\1', 'g') AS x FROM src),
+raw AS (SELECT side, id, list_filter(string_split_regex(regexp_replace(x, '[{ENDING}]+', '', 'g'), '[{_sql_class(SPACES)}]+'), lambda x: x <> '') AS r FROM q),
 k AS (SELECT side, id, unnest(r) AS x, unnest(range(1, len(r) + 1)) AS i FROM raw),
-c AS (SELECT side, id, i, trim(x, {_quoted(PUNCTUATION)}) AS core, right(rtrim(x, {_quoted(CLOSING)}), 1) IN ('.', '!', '?', ':') AS ends FROM k),
+n0 AS (SELECT side, id, i, rtrim(x, chr(5)) AS core, coalesce(right(lag(x) OVER (PARTITION BY side, id ORDER BY i), 1) = chr(5), true) AS opens FROM k),
 p AS (
-  SELECT *, coalesce(regexp_matches(lag(core) OVER w, '{NUMBER_PATTERN}'), false) AS amount, coalesce(lag(ends) OVER w, true) AS opens
-  FROM c WINDOW w AS (PARTITION BY side, id ORDER BY i)),
+  SELECT *, coalesce(regexp_matches(lag(core) OVER w, '^[0-9]+$'), false) AS amount
+  FROM n0 WHERE core <> '' WINDOW w AS (PARTITION BY side, id ORDER BY i)),
 t AS (
   SELECT side, id, i, lower(core) AS value, CASE
-    WHEN regexp_matches(core, '{NUMBER_PATTERN}') THEN chr(2) WHEN regexp_matches(core, '{AMOUNT_PATTERN}') THEN chr(4)
-    WHEN amount AND lower(core) IN ({', '.join(_quoted(u) for u in UNITS)}) THEN chr(3)
-    WHEN NOT opens AND regexp_matches(core, '{NAME_PATTERN}') THEN chr(1) ELSE lower(core) END AS t FROM p),
+    WHEN regexp_matches(core, '^[0-9]+$') THEN chr(2) WHEN regexp_matches(core, '^[0-9]+({_UNIT})$') THEN chr(4)
+    WHEN amount AND core IN ({', '.join(_quoted(u) for u in UNITS)}) THEN chr(3)
+    WHEN NOT opens AND regexp_matches(core, '^\p{{Lu}}\p{{Ll}}') THEN chr(1) ELSE lower(core) END AS t FROM p),
 a AS (
   SELECT side, id, list(t ORDER BY i) AS t, list(CASE WHEN t IN (chr(1), chr(2), chr(3), chr(4)) THEN value ELSE '' END ORDER BY i) AS v
   FROM t GROUP BY side, id),
