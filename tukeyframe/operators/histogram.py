@@ -25,11 +25,8 @@ class BinWindow:
     bins: int = BINS
 
 
-def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """df with the column i: each row's rank (from 0) by a unique key, without a window over all rows.
-
-    Rows are sorted by ranges of the key; the partitions' row counts, one number each, give the offsets.
-    """
+def _sorted_parts(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(df with its dense index i, the persisted table behind it)."""
     placed = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
     placed = placed.persist(StorageLevel.DISK_ONLY)
     sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
@@ -37,9 +34,16 @@ def dense_index(df: DataFrame, key: str) -> DataFrame:
     for part in sorted(sizes):
         steps += [F.lit(part), F.lit(offset - (part << 33))]
         offset += sizes[part]
-    if not steps:
-        return placed.withColumn("i", F.col("_at")).drop("_part", "_at")
-    return placed.withColumn("i", F.col("_at") + F.create_map(*steps)[F.col("_part")]).drop("_part", "_at")
+    i = F.col("_at") + F.create_map(*steps)[F.col("_part")] if steps else F.col("_at")
+    return placed.withColumn("i", i).drop("_part", "_at"), placed
+
+
+def dense_index(df: DataFrame, key: str) -> DataFrame:
+    """df with the column i: each row's rank (from 0) by a unique key, without a window over all rows.
+
+    Rows are sorted by ranges of the key and kept on disk; the partitions' row counts, one number each, give the offsets.
+    """
+    return _sorted_parts(df, key)[0]
 
 
 def strided_sample(df: DataFrame, column: str, key: str | None = None, index: Column | None = None, size: int = SAMPLE) -> list[int]:
@@ -47,13 +51,17 @@ def strided_sample(df: DataFrame, column: str, key: str | None = None, index: Co
 
     At most 2 * size values come to the driver.
     """
-    step = max(1, df.count() // size)
+    step, placed = max(1, df.count() // size), None
     if step > 1 and index is None:
         if key is None:
             raise ValueError("a key or an index must order rows of which only some are sampled")
-        df, index = dense_index(df.select(key, column), key), F.col("i")
+        df, placed = _sorted_parts(df.select(key, column), key)
+        index = F.col("i")
     rows = df if step == 1 else df.where(index % step == 0)
-    return [int(r[0]) for r in rows.where(F.col(column).isNotNull()).select(column).collect()]
+    found = [int(r[0]) for r in rows.where(F.col(column).isNotNull()).select(column).collect()]
+    if placed is not None:
+        placed.unpersist()
+    return found
 
 
 def window_from_sample(values: list[int], bins: int = BINS, rule: str = "iqr") -> BinWindow:
