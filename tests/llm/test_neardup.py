@@ -48,7 +48,7 @@ def corpus(seed, n=60):
     passage = " ".join(words(rng, 30))
     texts += [f"{passage} {' '.join(words(rng, rng.randint(5, 40)))}" for _ in range(n)]
     texts += [" ".join(words(rng, rng.randint(1, 9))) for _ in range(n)]
-    texts += ["Same Text here\tof six\x0bwords", "same text HERE of six words", "É a b c d e", "é a b c d e", "one two", "two one", "one two", "\x1c a b c d", "", None, "   \n", " ".join(words(rng, 30_000))]
+    texts += ["Same Text here\tof six\x0bwords", "same text HERE of six words", "É a b c d e", "é a b c d e", "one two", "two one", "one two", *["copied five times over and over"] * 5, "\x1c a b c d", "", None, "   \n", " ".join(words(rng, 30_000))]
     rng.shuffle(texts)
     return list(enumerate(texts)) + [(None, "one two"), (3, texts[3]), (3, "one two"), (0, texts[1])]
 
@@ -56,6 +56,7 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize(("seed", "block"), [(1, 1 << 19), (2, 4096)])
 def test_against_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SALT_ROWS", 2)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, node string").repartition(3)
     got = [tuple(r) for r in neardup.deduplicate(docs).collect()]

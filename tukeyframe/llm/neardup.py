@@ -32,6 +32,8 @@ from tukeyframe.llm import scratch, shingles
 
 #: Shingles (each class counts as MIN_SIZE at least) in a block, on average.
 BLOCK, MIN_SIZE = 1 << 19, 256
+#: Rows of one class from which they are dealt to several tasks.
+SALT_ROWS = 1000
 #: Products of posting lengths from which a shingle is counted by a matrix product.
 DENSE = 4096
 
@@ -165,9 +167,9 @@ def _meetings(items: DataFrame) -> DataFrame:
 
 
 def links(described: DataFrame, documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(classes (node, rep, n), forest of verified links (a, b) between classes) from the written result of describe()."""
+    """(classes (node, rep, n, copies), forest of verified links (a, b) between classes) from the written result of describe()."""
     full = described.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = scratch.materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = scratch.materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = full.select("doc_id", "node", "bands").join(classes.select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"])
     keys = reps.select(F.explode("bands").alias("key"), "node")
     shared = scratch.materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared")
@@ -175,7 +177,7 @@ def links(described: DataFrame, documents: DataFrame, key: str = "doc_id", text:
     wanted = classes.join(members.select("node").distinct(), "node")
     items = scratch.materialise(_families(members).join(wanted.select("node", "n"), "node"), "items")
     meetings = scratch.materialise(_meetings(items), "meetings")
-    payload = _sets(documents, meetings.select("node").distinct().join(classes, "node"), key, text)
+    payload = _sets(documents, meetings.select("node").distinct().join(classes.select("node", "rep"), "node"), key, text)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, nodes, sets, left, found = None, [], [], [], []
@@ -235,9 +237,13 @@ def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", p
     described = scratch.materialise(describe(documents, key, text), "described")
     classes, forest = links(described, documents, key, text, percent)
     joined = components(forest, classes)
-    labels = classes.select("node", "rep").join(joined.withColumnRenamed("rep", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("component"))
+    # a class of very many copies is dealt to several tasks: its rows by a salt, its label once for each salt
+    salts = F.ceil(F.col("copies") / SALT_ROWS).cast("int")
+    labels = classes.join(joined.withColumnRenamed("rep", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("component"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    hot = scratch.materialise(classes.where(F.col("copies") > SALT_ROWS).select("node", salts.alias("salts")), "hot")
     linkable = F.when(F.col("doc_id").isNotNull(), F.col("node"))
-    out = described.select("doc_id", "n", linkable.alias("node")).join(labels, "node", "left")
+    rows = described.select("doc_id", "n", linkable.alias("node"), F.monotonically_increasing_id().alias("row")).join(scratch.small(hot), "node", "left")
+    out = rows.withColumn("salt", F.pmod(F.col("row"), F.coalesce("salts", F.lit(1))).cast("int")).join(labels, ["node", "salt"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
