@@ -66,3 +66,9 @@ def test_empty_tables(spark):
     docs, items = tables(spark)
     assert decontaminate.matches(docs.limit(0), items).collect() == []
     assert decontaminate.matches(docs, items.limit(0)).collect() == []
+
+
+def test_clean_treats_words_that_open_sentences_alike(spark):
+    items = spark.createDataFrame([(1, "Anna sells 12 red apples daily.")], "item_id long, text string")
+    rows = [(1, "Peter sells 40 red apples daily."), (2, "y coas Eaea ndorea Anna sells 12 red apples daily."), (3, "We know that Peter sells 40 red apples daily."), (4, "Peter sells 40 green pears daily.")]
+    assert [r.doc_id for r in decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()] == [4]

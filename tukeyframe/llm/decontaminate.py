@@ -55,8 +55,8 @@ def _cut(words: Column) -> Column:
     return F.array_remove(F.split(F.btrim(F.lower(words), F.lit(SPACES + STOP)), f"[{_WS}{STOP}]+", -1), "")
 
 
-def _slots(words: Column) -> Column:
-    """Numbers, amounts (a number with its unit), units after numbers, and names within sentences replaced.
+def _slots(words: Column, wide: bool = False) -> Column:
+    """Numbers, amounts (a number with its unit), units after numbers, and names within sentences (wide: and where one opens) replaced.
 
     The patterns begin with what is rare in a text, and never join or split words.
     """
@@ -64,16 +64,18 @@ def _slots(words: Column) -> Column:
     x = F.regexp_replace(x, f"(^|[{_WS}{STOP}])[0-9]+(?:{_UNIT}){_END}", f"$1{AMOUNT}")
     x = F.regexp_replace(x, f"({NUMBER}[{_WS}{STOP}]*[{_WS}])(?:{_UNIT}){_END}", f"$1{UNIT}")
     x = F.when(words.rlike("[0-9]"), x).otherwise(words)
+    if wide:
+        return F.regexp_replace(x, f"(^|[{_WS}{STOP}])\\p{{Lu}}\\p{{Ll}}[^{_WS}{STOP}]*", f"$1{NAME}")
     return F.regexp_replace(x, f"([{_WS}]+)(?=\\p{{Lu}}\\p{{Ll}})(?<=[^{_WS}{STOP}][{_WS}]{{1,20}})[^{_WS}{STOP}]+", f"$1{NAME}")
 
 
-def tokens(df: DataFrame, text: Column, values: bool = True) -> DataFrame:
+def tokens(df: DataFrame, text: Column, values: bool = True, wide: bool = False) -> DataFrame:
     """df with the arrays h (hashes of template tokens) and, if wanted, w (hashes of slot values, 0 for literal tokens)."""
     if not values:
-        df = hold(hold(df, words=_words(text)), t=_cut(_slots(F.col("words"))))
+        df = hold(hold(df, words=_words(text)), t=_cut(_slots(F.col("words"), wide)))
         return hold(df, h=F.transform("t", lambda x: F.xxhash64(x))).drop("t", "words")
     df = hold(df, words=_words(text))
-    df = hold(df, t=_cut(_slots(F.col("words"))), c=_cut(F.col("words")))
+    df = hold(df, t=_cut(_slots(F.col("words"), wide)), c=_cut(F.col("words")))
     w = F.zip_with("t", "c", lambda t, c: F.when(t.isin(NAME, NUMBER, UNIT, AMOUNT), F.xxhash64(c)).otherwise(F.lit(0).cast("long")))
     return hold(df, h=F.transform("t", lambda x: F.xxhash64(x)), w=w).drop("t", "c", "words")
 
@@ -88,9 +90,9 @@ def windows(df: DataFrame, keep: list[str], size: Column | int, values: bool = T
     return df.select(*keep, size.alias("size"), F.explode(each).alias("x")).select(*keep, "size", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.w").alias("w"))
 
 
-def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text", wide: bool = False) -> DataFrame:
     """The windows that count: item (distinct), size, h, at, w, n (distinct windows of the item)."""
-    items = tokens(benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), F.col(text).alias("text")), F.col("text"))
+    items = tokens(benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), F.col(text).alias("text")), F.col("text"), wide=wide)
     items = items.where(F.size("h") >= SHORTEST)
     every = windows(items, ["item_id"], F.least(F.lit(WINDOW), F.size("h")))
     literal = F.size(F.filter("w", lambda x: x == 0))
@@ -100,16 +102,19 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
     return used.join(used.groupBy("item_id").agg(F.count_distinct("h").alias("n")), "item_id")
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """A row for each contaminated document and the item: doc_id, item_id, n_windows (of the item), n_matched, coverage."""
-    own = benchmark_windows(benchmark, item).select("item_id", "size", "h", F.col("at").alias("item_at"), F.col("w").alias("item_w"), "n").distinct()
+def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, key: str = "doc_id", text: str = "text", item: str = "item_id", wide: bool = False) -> DataFrame:
+    """A row for each contaminated document and the item: doc_id, item_id, n_windows (of the item), n_matched, coverage.
+
+    SQL defines it; wide has no SQL and takes every capitalised word for a name, so that the place in a sentence doesn't matter.
+    """
+    own = benchmark_windows(benchmark, item, wide=wide).select("item_id", "size", "h", F.col("at").alias("item_at"), F.col("w").alias("item_w"), "n").distinct()
     theirs = scratch.materialise(own, "benchmark-windows")
     facts = theirs.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most WINDOW sizes
     sizes = sorted(facts["sizes"]) or [WINDOW]
     join = F.broadcast if facts["n"] <= BROADCAST else (lambda x: x)
 
     def every(rows: DataFrame, values: bool) -> DataFrame:
-        docs = tokens(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")), F.col("text"), values).drop("text")
+        docs = tokens(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")), F.col("text"), values, wide).drop("text")
         if len(sizes) == 1:
             return windows(docs, ["doc_id"], sizes[0], values)
         return windows(docs.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))), ["doc_id"], F.col("_size"), values)
@@ -131,8 +136,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, ke
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents without the contaminated ones; rows with a null id stay."""
-    found = scratch.materialise(matches(documents, benchmark, share, key, text).select(key).distinct(), "contaminated")
+    """documents without those that match, in the form of SQL or the wide one; rows with a null id stay."""
+    both = [matches(documents, benchmark, share, key, text, wide=wide).select(key) for wide in (False, True)]
+    found = scratch.materialise(both[0].union(both[1]).distinct(), "contaminated")
     return documents.join(scratch.small(found), key, "left_anti").select(*documents.columns)
 
 
