@@ -68,3 +68,14 @@ def test_scan_digest_and_redact(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.digest(secrets.scan(docs)).collect() == []
+
+
+@pytest.mark.parametrize("value", "required incorrect disabled identifier Forbidden mandatory automatically optional. unencrypted reinstalled".split())
+def test_plain_words_after_credential_words_are_clean(value):
+    for before in ("the password is", "login is", "pin:", "credentials are gone, and this login is"):
+        assert not [x for x in secrets.spans(f"{before} {value}") if x[0] == "guess"]
+
+
+@pytest.mark.parametrize("value", ["xkqzjvwp", "x9$Kq!72vTzB", "vq7Lm2zRt4", "gfhtkwqzbn"])
+def test_random_values_after_credential_words_are_found(value):
+    assert [k for k, _, _ in secrets.spans(f"the login is {value}")] == ["guess"]

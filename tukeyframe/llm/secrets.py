@@ -16,11 +16,14 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tukeyframe.llm.words import ENGLISH
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -32,13 +35,15 @@ CREDENTIAL = re.compile(
 #: Any text with a span of kind assign or guess has one of these in lower case.
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "api", "credential", "login", "pin")
 
-#: Frequent parts of chosen passwords, most frequent first: the rank is the guess cost. A parameter of guess_bits.
-WORDS = (
+#: Frequent parts of chosen passwords, endings, and English words, each most frequent first: the rank is the guess cost. A parameter of guess_bits.
+PASSWORD_PARTS = (
     "password pass word admin root user login welcome qwerty letmein monkey dragon master secret hello shadow sun shine "
     "princess football baseball iloveyou love trust me freedom whatever test guest default change changeme summer winter "
     "spring autumn january february march april may june july august september october november december monday tuesday "
     "wednesday thursday friday saturday sunday token key value example sample your here none null true false the and for"
 ).split()
+ENDINGS = "ing ers able ible less ness ment tion ally ies ous ful ity".split()
+WORDS = tuple(dict.fromkeys([*PASSWORD_PARTS, *ENDINGS, *ENGLISH]))
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("013457@$!", "oieastasi")
 MIN_BITS = 36.0
@@ -60,6 +65,12 @@ def _walk_length(value: str) -> list[int]:
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
 
 
+@lru_cache(8)
+def _ranks(words: tuple[str, ...]) -> tuple[dict[str, int], int]:
+    """The rank of each word, and the longest word's length."""
+    return {w: r + 1 for r, w in reversed(list(enumerate(words)))}, max(map(len, words), default=0)
+
+
 def _cardinality(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 128
 
@@ -73,8 +84,7 @@ def guess_bits(value: str, words: tuple[str, ...] | list[str] = WORDS) -> float:
     if len(low) != len(value):  # a few letters have longer lower-case forms
         low = value
     plain = low.translate(LEET)
-    ranks = {w: r + 1 for r, w in reversed(list(enumerate(words)))}
-    longest = max(map(len, ranks), default=0)
+    ranks, longest = _ranks(tuple(words))
     walks, n = _walk_length(low), len(value)
     alike = {p: [0] * (n + 1) for p in range(1, 9)}  # how far value[i:] equals value[i + p:]
     for p, run in alike.items():
@@ -141,7 +151,7 @@ def spans(text: str | None, words: tuple[str, ...] | list[str] = WORDS, min_bits
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def scan(documents: DataFrame, text: str = "text", words: tuple[str, ...] = tuple(WORDS), min_bits: float = MIN_BITS) -> DataFrame:
+def scan(documents: DataFrame, text: str = "text", words: tuple[str, ...] = WORDS, min_bits: float = MIN_BITS) -> DataFrame:
     """documents with the column spans: array<struct<kind, start, end>>."""
 
     @F.pandas_udf("array<struct<kind: string, start: int, end: int>>")
@@ -164,7 +174,7 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(documents: DataFrame, text: str = "text", placeholder: str = "[SECRET]", words: tuple[str, ...] = tuple(WORDS), min_bits: float = MIN_BITS) -> DataFrame:
+def redact(documents: DataFrame, text: str = "text", placeholder: str = "[SECRET]", words: tuple[str, ...] = WORDS, min_bits: float = MIN_BITS) -> DataFrame:
     """documents with every span replaced by the placeholder; overlapping spans become one. Null texts stay null."""
 
     @F.pandas_udf("string")

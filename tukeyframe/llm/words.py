@@ -1,0 +1,786 @@
+"""English words of four letters and more, most frequent first: by the number of files of English documentation that have them."""
+
+ENGLISH = """
+with that this from file will should used have which when only more https name other without list code using under default same either return copy
+object value into type version function must string also does work http first case data class copyright details some then module need given than test
+license following error values check there information number files software make here specific where after since these like found before because each
+even method required they names support been such instead both them source different would line call just except documentation example result output
+empty time above returns distributed provided text input otherwise current specified single argument path always contains implied called part order
+functions already available about modify their create additional being useful objects uses your want including types import exception user possible
+instance later passed implementation sure defined package language between original arguments returned raise writing format multiple avoid match
+included strings based include tests through still back directory cannot methods valid what most whether while change created could library needed
+over added free read works those cases versions terms form optional pass last written obtain start were write index means allow binary well message
+containing else standard complete another point option directly handle system tuple full supported generated removed expected done special invalid
+express find itself long process options applicable attribute size might associated rights permissions errors parameter calls many true contain
+integer variable next array systems command characters team ignore program running within existing compliance ensure common length necessary remove
+below results behavior mode along once right issue changes limitations notice bytes least made conditions currently during interface correct
+compatibility actually build lines raised distribution take copies keep fail state explicitly provide second base makes unless against allows
+reference allowed until never subject local agreed licenses header attributes various access level present received sequence missing permission
+corresponding character calling governing needs merge dict context correctly parameters root setting automatically regarding provides classes appear
+reserved internal extra ownership simple environment python equivalent float keys left exist includes script longer changed apply configuration
+keyword memory encoding testing every dictionary ignored raises rather actual contributor similar exists link distribute related something release
+anything very fails requires warning named takes around contents deal previous prior redistribute times agreements granted bool elements matches
+matching block cause future know convert modules noqa require published entry warranty custom users variables buffer instances public better purpose
+handling look note open parse numbers separate checking less specify known defaults table equal inside element deprecated hereby nothing appropriate
+hope column particular place main flag field operation supports update prefix skip style paths usage modified zero normal converted section range
+failed passing content document fixed target define again cache initial shall dtype generate though request limitation exceptions logic representation
+large override resulting item mapping display adding body constructor installed underlying relative sets replace checks give lists location loop
+repository param whose creating entire considered items parsing working args extension global things show stored fields implemented expression
+operations control explicit real outside subclass able starting gets print help tree much derived certain contained restriction server attempt entries
+implement regular returning updated syntax versionadded filename parent limit node really prevent depending exactly close messages whole three
+portions person obtaining boolean false enough columns small updates issues others addition maximum reading space unique sell handled tuples making
+report compatible info references break property stream assume having shared performance event permit wrong properly built gives protocol pattern
+publish search substantial comment doing forms side position replaced charge func byte store general namespace modification project taken trailing
+listed permitted checked whom determine several persons leading probably ones exit accept conversion parsed structure packages representing address
+described definition effect produce treated cover failure furnished problem nested reason follow happen sublicense count immediately directories
+closed enabled retain stack negative features none previously applied group platform points simply contributors good intended enable null split final
+further recent together according best parser parts self everything metadata individual perform comparison feature promote pragma arbitrary likely
+usually compiled install collection load platforms possibly integers behaviour runtime sort happens indicate client description date scalar encoded
+execution connection stop creates supplied arrays followed processing application signature clear comments numeric numpy alias assert broken older
+runs beginning earlier requested rest callback consistent status headers marked filter reproduce callable domain branch implementations kind model
+page offset preserved across properties algorithm helper down wrapper important series starts statement bound whitespace handler compare flags
+disabled hash remaining safe expect pair compiler exact absolute however rules send encodings iterable basic fixes follows executable handles random
+represents config double active warnings going licensed complex applies copied trying functionality inputs meta occurs accepted child larger reset
+thing accepts commands relevant subclasses supporting come unicode upon difference internally temporary thread libraries verify const response
+problems adds examples indicates external imported mechanism scripts cast greater fully label loaded seconds depends proper static unknown disable
+generic please port sent short specification iterator lower wrap catch consider disclaimer indicating specifies minor private generator limited occur
+applications construct core requests turn keywords represent char detect refer condition save total direct identifier token causes creation duplicate
+minimum security thus ends manually preserve appears lookup track scope shape author changing spaces typically words builtin recommended bits meaning
+compile embedded getting extensions html purposes therefore pairs reported sources step subsequent advertising identical looks caller commit desired
+frame specifying ways debugging manager products expressions operator literal mean width building fall force bugs notes registered sorted started
+continue authors backwards blocks legacy switch hook invoked member implements omitted treat incorrect delete generally hold produced tools
+alternative assumed backward socket codes execute indices faster trigger assigned kept sense descriptor development wrapped compute executed materials
+tested documented move native incompatible spec dtypes easier released become leave pointer resource looking tell action constant mark validation
+color defines determined programs requirements formats reduce remote view affect pandas early endorse kwargs seen throw account suitable wait designed
+interpreted optionally often strict word fallback semantics span care choose comes components console debug easy host extended newline rows cached
+caused configured engine formatting iteration moved positive struct diff escape imports tags timeout releases clean resolve settings unsigned
+overridden plain product quite constants dependencies normally share taking tokens query regardless sometimes specifically validate datetime signal
+amount higher obtained rule stdout deleted providing loading operating ensures languages assignment exclude fast manual overflow patch regression
+reports twice append initialized resolution resolved shows depend fill guaranteed links represented sequences skipped crash suite incorrectly
+introduced resources session drop installation levels mixed respect combination precision subset matter origin potentially preferred printed regex
+rely becomes places scheme undefined authorization ever performed allowing readable record symbols operators removing extract labels responsible shown
+sign threads formatted partial processed register select goes requirement seems anyway away whatever interpreter modifications reads decimal
+especially plus positional stuff converting produces reasons terminal yield accessed choice downloaded latter ndarray processes replacement tool meant
+insert receive upstream emit optimization separator tries copying slice slow successfully blank maintained retained stderr initialization silently
+timestamp convenience covered groups neither smaller terminate themselves unit closing lambda builds dependency distributions initialize network setup
+success template third thrown dynamic optimized selected completely necessarily padding patches people remain filesystem ints shell computed floats
+patterns restore writes configure export generation indicated recursive refers separated strip window chain docs held implicit assign compared
+definitions fine mask maybe ordering reverse sale title aliases matched sample component holds latest unchanged chunk passes reuse stable warn
+approach forward speed archive fetch minimal newer programming signed void events async axis fact history cleanup comparing members opened think
+entirely independent maps applying deprecation overrides placed push quotes whenever assumes docstring floating nodes ordered completion unexpected
+appended decode repeated restrictions attempts detected dual garbage linked respectively lead maintain mostly outputs sending tracking behave failing
+generating major past quoted saved statements conflict failures potential priority proxy separately successful accessible almost digits hard prints
+records suffix unsupported utility chosen filenames implementing inherit little machine raising reporting representations authentication constructed
+decorator extend kernel triggered callbacks documents finished keeps located summary among attached converts emitted high reasonable recursively
+slightly unnecessary database lost structures affected generates supposed notices usual comparisons connect describe normalized removes significant
+wrapping children cycle easily encode infinite remains wants coding compilation four freely giving graph installing legal reached sizes background
+lexer primary accessing begin breaks compression duplicated indexing policy quote symbolic abstract causing expects home recursion avoids importing
+invoke selection symbol bounds dependent differences doctest enables practice wish decoding idea inner prepare service addresses construction
+experimental steps visible identify parallel prepared progress schema strategy although literals occurred params propagate storage buffers disk
+handlers hence mapped merges queue clone detail ignoring opening scalars timezone duplicates filled improve indexes infer leak meth notation term
+unused year attr caught mentioned middle originally strictly virtual assuming completed ending equality hidden hooks mypy pull repr workaround careful
+defining finally identifiers submodule terminated usable combine consistency evaluated excluding guess period trace backend differ grant inherited
+marker traceback alter attempting efficient encountered front newly nice ready windows aware locale precedence rename routines suppress calculate
+chunks commits init publicity streams subdirectory variant anyone beyond checkout elsewhere interfaces offsets optimize password sorting unlike
+alternate chars collected decide decoded dropped guarantee implicitly instructions logging overhead pertaining portion situation throws upper vector
+architecture clearly combinations displayed finding magic projects safely waiting escaped overwrite pages recognized showing truncated turns wrote
+categories combined connections hack interactive printing calculated counts discussion identified improved inline receiving retrieve corrected
+developed join outer claim descriptors inserted interval locations merged modern normalize storing detailed differently distinguish exported figure
+letter corresponds dynamically macro preference says someone states tried writable allocated alone bare boundary intermediate issued presence replaces
+altered basis button caching casting edge executing expanded incomplete inferred pipe prompt renamed shutdown utilities worker behaves extent family
+highlight paragraph pretty reject depth derivative describing keeping overriding referenced sufficient transform binding category declaration duration
+email registry wheel collect dates download expand extracted finish loader newlines party abort distinct excluded globals perhaps rejected specifier
+theme actions alive defer detection developers identity pick risk soon breaking clause connected consists controls evaluation exposed iterate worth
+adjust anymore conflicts coverage dicts expose impossible onto refs replacing asked circular comma container corner destination eventually expensive
+hand lengths logical satisfy stopped task transfer transport confused days factory inference pending pointers prefer protected understand
+versionchanged consume deep direction particularly seem certificate declared describes limits management site verbatim compiling convention effective
+expressed layout pieces transformation translate backslash commercial compat dealings determines hostname material power servers verbose auto branches
+device frames inspect lock mailing packaging stdin stores world dimension evaluate locally operate removal requiring retrieved subprocess tables
+turned zeros annotations helps implies json marks mistake performs signals yields kinds pool prevents repeat succeed updating agreement alignment
+colon course dealing edit invocation leaving race rebase redundant reflect trivial ability acceptable constructs manner moving positions serialized
+solution worked allocation ambiguous arising enforce involved pathname slash asynchronous correspond dataframe helpers portable primarily targets
+triggers attention automatic batch begins compressed controlled convenient delay environments framework indentation linking omit pickle whereas wraps
+builtins cleared differs effort question reader segfault simplify sockets translation capture colors damages flow helpful hierarchy lack naming owner
+respective tasks vary binaries browser effects formatter ignores indent macros meaningful pure receives revision startup align arithmetic computing
+dedicated design filters grants interpret licensing maintainers mismatch modifying tells accurate computation crypto flush liable lowercase models
+payload recently remainder render round broadcast correctness cost diagnostic discard explanation loss noted performing possibility said sections
+separators serialization styles typed affects algorithms assertion benefit bind consumed improvements knows protection relies resolving submodules
+aligned bash constructors destroyed managed protect signatures situations skipping stops told unmodified bindings clients compilers conditional
+contexts dictionaries internals lazy lets machinery mainly manage markers official stated statistics translated accordingly advantage explain grammar
+identifying letters modes overwritten production solely symlink temporarily accuracy attempted computer discarded editor equals exercise immutable
+instantiated pointing responsibility reused verification behind candidate canonical channel combining debianized dimensions exits governed guarantees
+linker loops matrix prefixes promise shift categorical confusing dummy honor inconsistent producing shorter similarly stripped symlinks underline
+unlimited username await complicated exclusive freq frequency increase increasing instruction largest typical typing warranties annotation calculation
+chance dataset image inherits linear preserves ranges routine sanity simpler structured appropriately ascii coerce compliant constructing existence
+exports filtering fork interesting milliseconds partially plugin prefixed sends shallow somewhat sync transformed cycles declare enum hide highest
+holder indicator learned pytest responses searching threshold timestamps unconditionally units addons analysis consecutive dark determining ensuring
+hint invoking namespaces opposed pointed sensitive tabs unnecessarily years belong cleaned commonly continuation effectively entity factor generators
+holding malformed overlap royalty succeeds union appending counting enforced leaves numerical plainly preceding processor recorded rewrite schemes
+slower timedelta axes concrete constraints escapes grep hashable highlighting misrepresented pack piece reach square truncate variants zlib asking
+blocking deemed digit filling folder indirect leaks parses recognize retry setuptools smallest writer contributed fewer former insensitive segment
+unspecified answer appreciated buffered declarations directives dump falls fixing flat half head medium pyarrow reliable splitting visited adjusted
+attach boundaries echo emits fashion fixture huge listing machines maintenance month quoting sparse streaming templates weird argc bottom division
+imply occurrence parsers pickling repositories scale scan somewhere subtype acknowledgment adapted brackets executables hardware herein indented
+indexed inplace intact integration naive offer organization redirect shortcut supply technically termination unable achieve anywhere contiguous
+copyrighted covers decorated endif eval exiting fragment heap hello lose obvious stdlib thereof wrappers area authorized bogus came couple directive
+finds instantiation layer minutes nearest relatively reversed wanted ahead choices claims corrupt cross guard impact incoming nature rewritten
+trademark unsafe vars zone additions allocate dead essentially hashes listener provider sentinel spawn suggested traditional transition unlikely carry
+continues conversions deleting epoch happened initially iterating ordinary procedure protocols quickly rare slices alpha blob buffering charset
+contact embedder exceed flexible guide icon incorporated installs marking moment standards upgrade coerced complain conform entities forces friends
+gave goal human illegal initializer instantiate leads obsolete repeatedly restrict saving synchronous weights accidentally auth average bother
+business caches closes distributing expansion font looked mutable near predicate redirected reduction restricted undocumented views basically compact
+constraint customize decoder drive fairly filtered intentionally margin normalization offered offers reduced singleton theory unset arrow belongs
+contributions dispatch exited interaction interested introduce inverse lazily phase propagated quick referred registers scheduled specifiers
+throughout trees validated acts aggregate architectures assumption atomic certificates communication concatenated confusion counter cursor delimiter
+dots foreign historical occurrences recommend secure substitute touch circumstances discovered dotted feed forget math optimizations packed perl
+populated problematic reasonably accepting anchor bases configurations consisting copyrights decision digest distutils exceeds highlighted live locals
+loose lots maintains mechanisms nesting parties preserving printf segments sharing splits understood vectors weight wide alternatives assembler ended
+experience fetching glibc inclusion insertion lowest mappings merely merging mock mutate parentheses post proxies publicly rejects robust rounding
+searched simplified snapshot underscores uppercase validity worldwide aborted browsers codepath collections delimited disallow entirety holders
+independently modifies persistent plan precise stay strong subdirectories suitability temp treats unavailable unrelated week acknowledge annotated
+consist contrast destroy enabling formed height interest lookups mentioning seed serve slicing surrogate tracing training trick underscore visibility
+weak white wildcard analogous bypass cancel commas detached exposes great immediate late libxslt multiline partition queries refresh screen
+specifications stat timing translations acknowledgement broke bundled compares configurable difficult disables disallowed falling frozen hexadecimal
+maintaining markup master parents primitive pylint specially throwing worry advance archives attacks coming comply concatenation crashes escaping
+established fetched hints intent involving lxml media pipeline regexp relying services trust advanced bunch capability closest consult consuming
+debugger endpoint exec fatal freed fresh gone groupby grouping introspection mandatory mess metaclass percent punctuation quiet recurse stability
+stale uninitialized accesses captured completes consequences conventions eliminate enhanced entered exponent fake favor fits grouped gzip measure mind
+online ourselves overall overflows presented prototype provisions resolver resolves respects satisfied selects subcommand tensor timer unix attrs
+blocked bold book callers cert codec descriptions despite docstrings enter individually inheritance jump listening minus operand readline reliably
+serialize significantly strongly swap unpack unpacking agree backslashes compress conflicting consistently contract encoder forced forgot functional
+loads mail mutated observed paragraphs placeholder roughly seek subclassing tricky verified website backport closely concurrent emitting identifies
+initializing iterators leaked localhost misleading operates ought profile questions suppressed workers afterwards concerning conjunction delta extras
+finite hour instantiating listen nullable promises propagation qualified registration relationship remember sentence sides tied towards tracker
+verifying abstraction approximate candidates casts community gracefully missed patent periods purely puts rank tracks variety apparently classmethod
+collecting delimiters detecting disabling draw foregoing ideal indexer inform invokes joined learn meet microseconds overwriting permissive populate
+ports procedures proceed runner straight taught useless yourself believe carefully communicate displays engines estimate fraction hang matters opaque
+overview serves shapes showed standalone stylesheet talk transforms trusted unhandled whitespaces adapt assignments asynchronously containers
+continuous descending elif expecting extends fractional hover interfere knowledge kwarg maintainer minimize nans natural opposite owned pathnames
+prepended redistributed rendered revert samples sensible spurious tracked triggering unpacked urls yielding assigning avoided bundle claimed coercion
+concept coordinates datetimes deterministic flattened folding increment inject lifetime manipulation opens openssl redistribution refuse rendering
+sorts submit uncompressed variance adjacent assertions behalf booleans bootstrap coroutine corruption divide dont emulate excludes explained extremely
+five flaky fold hours inserting interpretation lexers libffi longest managing moves notify predefined prepend probability reduces scenario selector
+sequential sessions spelling substring subtle tail thanks accessor achieved aggregation bring bytecode chained continuing customized deletion drops
+encouraged essential handful indirectly integrated irrelevant iterables iterated libc logged logs mirror nonzero partitions pathspec pushed renderable
+scientific shares simultaneously slashes suggest terminating thought truncation validator varies absent agrees ascending cancelled clearing counted
+dist driver efficiently evaluates glob globally handy hosts interact interchange iterations liability locate mention merchantability misc nbsp okay
+physical preceded provision putting scanning selecting signs spawned stats unreachable welcome chunked collector computes contribute converter
+deadlock everywhere exhausted forcing forever inclusive kill peer pickled preventing shorthand simplest sized skips strange substitution terminates
+threading verifies absence activated additionally attack calculating chaining cluster connecting dataclass developer encryption evaluating fitness
+forbidden heuristic interpolation login mkdir ndarrays owns parametrized play portability prohibited rtype sampling scopes specialized stage
+surprising uncaught upload widget accordance arise brief buggy cell concatenate consumption credentials dash efficiency errno executes exporting
+incorporate inspired laws lexical multiplication overlapping rarely seeing simulate slot suggestions surrounding tarball technical transformations
+unaffected wheels anonymous apart backed calculations cleaning confirm criteria derive exchange extending forbid hardcoded increases inspection
+interrupted intervals mimic obviously overloaded perpetual prepackaged reachable redirection referencing reflected spawning stash stray trouble
+universal yielded border bracket cells channels clock closure constitutes deferred distinction integral introduces invocations octal operands patched
+pushing reaches registering restored restrictive review roundtrip saves shipped somehow stripping visit went agent beta bump clang cols definitely
+delegate desirable exceeded expired hashing hopefully involve life manipulate profiling recover referring reflog refused scenarios scoped snippet
+survive traversal validating vendor ancestor appearance argv bail cipher compiles complement conforms decided defaulting deprecate detects doubt
+downstream dropping editing expanding extracting finder focus improvement mailto masked modifiers modulo pager positives pretend randomly reserves
+separating straightforward succeeded tagged textual tick timed traces treatment ufunc vertical vulnerable warns accumulated aliased arbitrarily
+availability braces cancellation capabilities complexity distance drawn embed enclosed encounter encrypted heading heavily ifdef indication infinity
+inspecting keyed lacks listeners logger mismatched modifier mutually nanoseconds omitting policies proto pyright recommendation refactoring rejection
+resets reshape resume safety statically synchronously timeouts unstable untracked watch wire avoiding catching clarified concat contributing ctypes
+datatype discussed displaying endings filesystems frequently gain hits identification integrity intellectual invariant joining lineno mixin notified
+plugins preload preparation prerequisite recipients redirects region resulted retries revoked safer searches seeking smart strategies sufficiently
+symmetric tracebacks transferred transpose unusual violation walk activate capable capturing codepaths conforming considering continued daemon
+dangling dashes defects deletes deviation drawing duplication encourage expectation extraction fancy flatten formatters forwarded gained handshake
+invalidate labeled narrow pipes regard relating relied sleep stating stricter subtract trademarks unbound understands unittest worktree batches black
+builder cleanly consumers consumes cores critical dirs discovery domains downloading emulation entitled existed finalization happy indeed ings
+integrate libuv manpage notable personal practical rate rationale reconstruct respond rounded semantic spark speedup superclass switches trade
+treating trim triple truth turning ugly unwanted upcast vice vulnerability xref accommodate alongside analyze approved assigns asyncio closer compound
+demand endian establish flushed imaginary interacting involves jurisdiction killed locks miss needing nulls parenthesis porting quality regressions
+repo requesting saying stdio structs subsequently technique tempfile timezones typedef weakref acquiring assumptions bias bitmap breakage callables
+casing clears consideration controlling draft happening intersection leftover manages mismatches outdated outstanding overload ratio recreate renaming
+reorder sane sites spacing stub subclassed successors versus worse attacker bigger bounded broadcasting center clarify cloned consumer databases
+deliberately developing dumb edges fault friendly infrastructure inheriting launched literally loaders localized malicious managers metrics multipart
+neighboring nonexistent outcome perf primitives principle respected room scheduling segfaulted setter silence successor superset timers trailer
+transparent unbounded wiki accompanying ambiguity appends associate baseline basename catches collapse confuse decorators decreasing editable elapsed
+entering examine exercising externally extraneous finishes getter hardening highly increased incurred jobs minute mutating namedtuple namely onnx
+packaged packfile presumably prog prompts publication rebuild refactor scaling schedule score shrink subcommands super typo ufuncs unfortunately waits
+workflow abbreviated affecting allocating astype authorship besides brought cloning composed configuring consequential convey descriptive diagnostics
+eliminating excess falsy feedback flaws floor incremented infringement locked menu months oldest overwrites packet parallelism printable qualifier
+queued revisions rich rolling segfaults signing subsystem suffixes synonym talking texts truncating unary unclear violate wider accidental ancient
+behaviors board bytearray checker collision dialog dirty encodes encounters equivalents exclusion forth freeing harder ideally images incidental
+inefficient intrinsics lies membership migrate omission penalty performant precompiled predictable prime querying reload representable restores
+revised sake sole subtraction suites tends took unneeded unquoted unwrap util verbosity waived xsltproc acknowledges acting authenticate became
+certainly considers cope counterpart credential credits discover discuss equally expressly extensive fixtures greatest identically incremental
+individuals informational informative internet irrevocable logo manifest measured misbehaved mistakenly monotonic mtime obligation owners ported
+promotion pseudo pushes qualify recipient refactored relation repeats repl reproduced satisfies serial silent snapshots spent stopping tuning
+unrecognized upcoming variations widely zipfile alphabetical alphabetically asks blanks bytestring certs chains choosing classified cookie
+cryptographic damage deals deeply dest destructor devices discouraged enclosing expands fair fixup goto horizontal idle importable injection intend
+isolated launch leap light linux lookahead measures mirrors mixing multi multiply packfiles posix powers queues readonly resetting shim shortest
+simplicity singular solve suit tensors unified unlink validators vulnerabilities walking wording accumulate acquire aspects becoming belonging
+benchmark bins blue comprehensive concurrently delayed denote designated doctests expectations explaining expr facility fourth guides illustrates
+incompatibility initializers instanceof interrupt isinstance losing majority median nonsense ordinal outlined popular precisely reordering
+replacements scanned sliced slots spelled stands subscript targeted ticket tolerance transforming trip tweak typofixes uniform unpickling violates
+abbreviation acceptance addon approximately benefits bitwise blame ciphers coefficients conflicted constitute datetimelike debian diagnosed dirname
+disconnected embedding exponential fees fonts footer heavy hierarchical importlib interoperability introducing latency likelihood mitigate ndim opts
+orphan padded persist preprocessor proposed providers pygments quantized reducing shebang supplying technology transmission typeof undo unenforceable
+unhashable unusable validates wherever whichever advertise advice allocations allowable assist bools checkers coded commented comparable cumulative
+decimals declaring decodes deeper dense diffs endianness folded fragments guidelines hunk impose inspector intrinsic jurisdictions kernels mishandled
+optimal optimizer patents permanently prominent quantile readability reimplemented replay reply switched targeting threaded toolkit tzinfo umask
+variation virtualenv zones absolutely accessors addressed alert appeared backing carries classic collisions concerns converters cyclic decisions
+deliver delivered deps descendant edited efforts emulated exclusively executor exhaustion feel filepath foreach forked freeze grab ifndef
+inadvertently indexers inspected issuing itemsize leaking lightweight masks mimics nobody notification orders possibilities resize responded retains
+retrying roots scratch secondary semicolon serializable spans subgraph subroutine summaries todo topic trimmed unreliable weighted writeable advised
+affiliates annotate arch backends caution cookies coordinate corrupted crashing credit ctxt customization dangerous decides denotes deprecations
+derivatives dimensional disclaims driven everyone exposing government grow growing heard hostnames hypothesis ideas inserts installer intercept italic
+lone natively nicer opcode outcomes pairwise picked rewriting soft solid spell stateful summarized superproject swapped synchronization thin tium
+traverse treaty uncommon upgrading wake whatsoever wildcards awful bandwidth benchmarks blow clarity codebase codename combines completeness
+constrained cython distributes endpoints excessive frequencies fundamental fusion gitweb hppa htest imposed improves junk libgomp masking monospace
+multilib news notably octets parquet permits planned pools predicates prevented profiler pyparsing reusable rightmost role shrinking smashing smoke
+sound spread statutory stuck telling totally transmit transposed unequal unescaped uniquely waives wishes actively activity amended anchors apps
+aspect authority backported borrowed bulk calendar central classification coefficient collaborators contrary convertible countries curve digests
+divided enforceable familiar feeding folders formerly gaps getters grid lives magnitude memoryview microsecond mutation nearly occurring outgoing plot
+poorly prediction prepares preprocessing principal prohibits promoted protecting prune reasoning recognizes reformed regenerate regexes regions
+restart revise serializer setitem sourcecode speaking suboptimal subprocesses subscribe substitutions suggestion terminals thousands titles tooling
+translates uniformly venv visual volatile aborting amounts analyzing assembled associating bootstrapping breach carried catalog clearer collaborator
+company contribution correlation curl datasets decomposition decompression decrypt disclaimers disconnect discrete drivers fills finalized flexibility
+frozenset govern indefinitely interpreters intervening isolate localize malloc midnight multiprocessing normalizing numbered numerically percentage
+placing predictions programmatically reliability reproducing rewind secret serious sheet shifted skipna strips submitted tutorial unconditional
+unnamed unordered varying violated whoever zeroes accounts adequate approximation areas artistic attribution autoconf badly blindly blobs boxes
+canceled casted caveats changelog cleanups composite conditionally conformance conservative consolidated costs dataclasses deserialization differing
+dropna endorsement enhance enumerable factors fastest funny fused getattr getitem gotten guessed guidance hereunder hitting honored ident initializes
+insecure installations intention iterates keyboard leaf letting libs limiting lowercased markdown matrices noticed pause permissible pickles recording
+reductions refcount resort retrieval retrieving reverted scaled sender serializing shadow ship spaced specs subtypes switching teardown thru
+transitions typos unify untrusted upgrades weekday acquired adhere alternatively annoying artifacts backticks bidirectional codecs collects
+comprehension concerned conn considerations consolidate correction decompress defect degree digital dispatched distro downloads eager ellipses
+extracts fingerprint finishing heuristics idempotent implications introduction javascript lang locales minimizes mistakes mutual national overly
+partitioned partitioning percentile plotting polynomial powerful prohibit pydantic refuses reindex renders repeating restoring shells spam stays
+strides styling suggests supertype terminology topics transferring undef unintended usability valgrind widths wins abandoned adjustment advertised
+aggregates alleging annotating assembly asserts backup charts chmod clarification coerces connects consequence controller creator cygwin deciding
+declares decompressed decrease defaulted degrees demonstrate dereference deserialized disclaimed distributors eagerly ease electronic entropy evenly
+face finalizer fractions gather github hiding highlights histogram historically hyphens inconsistency insist land leftmost libxml lifted lint
+manipulating mathematical memo miscellaneous nanosecond negotiation normalizes observation observations offending opcodes opportunity packs parity
+passphrase perfect permanent precedes programmer pypi quantization recommendations sanitizer speeding stick stronger sysconfig toplevel triples
+unaltered unborn underneath understanding unions uniqueness utils validations versa wild accelerate accelerator adapter addr administrator
+alphanumeric appearing arrangement began bypassing clauses clicking colons completions compose consent deflate demonstrates denoting devhelp dies
+differentiate directions distinguished ditto elementwise eliminates enumerate enums equivalence erroneously expressing facilitate fire fired
+foreground forking formula freedom fulfilled grows guards incorporates invert isolation logically loses mapper mount multidimensional multiples
+naturally noise nonce noop numerous onwards paired passwords patching phrase privileges quotation reaching recovery redefine repetition reputation
+responsibilities satisfying shuffle speeds squeeze substituted sudo suppose surrounded thinking thinks timedeltas traffic transformers trap traversing
+truly truthy tweaks tzdata unexpectedly unfortunate unreadable unwrapped vertically adopted angle article believed beneficial capital carriage
+carrying chdir checksum coercing committed complying coroutines corrections death died disambiguate discarding distinguishing draws ellipsis estimated
+facilities fastpath fitting flushing green hunks hyphen impl importer indicators institute largely launching makefile matcher meanings multiindex
+narrowing nasty nest nonempty obligations originating partnership perfectly pinned posting practices premature processors prone reflects regards rough
+route secrets separation shifting shorten shut solved staticmethod subtree syntactically tiny tokenizer transaction transferable transparently
+transports vendored viewed warned worst abbreviations allocator appname asserting association auxiliary behaved bisect boxed brace bypasses caption
+captures caret chose clones colored composition conf construed counterclaim cruft demonstrating diagonal dissemination ecosystem encrypt enhancements
+entrypoints enumeration exercised fillna finalize flip flushes frontends fulfills fullname gettext goals grained hypothetical improving injected
+inlining intentional interactively international jumps kwds lambdas likewise linter looping manipulated meets mouse notion outline overloads paused
+periodically pertain population preferences prematurely proceeding producer proven quit readers receiver renames reproducible resultant reusing rounds
+scripted sdist ships spend stacked stages subpath substituting symptom syscall systemd tarballs till transient tune unfinished uninstall vectorized
+verb workarounds aims altogether ancestors approaches bucket chunksize clash concatenating concern configs costly counters court decorate deny
+depended disallows doctype documenting doubles drives dumps exceeding expire extern extreme filed footprint forwards indemnity interactions legally
+legitimate litigation logos losses maximal meaningless mentions mocking monitor monotonically multiplied mutex nicely numbering obsoleted opset
+organizations overlaps packets perspective popped preparing privacy proposal proprietary prototypes publishing quadratic reentrant repetitions resides
+retaining retried revocation schemas segmentation semantically sentences signify skeleton sophisticated squared stringify stubs subsets substrings
+surrogates terminator tokenize trailers tweaked unpredictable uploaded voluntary waste watcher accord accurately addressing aliasing aligns alphabet
+alphas authenticated barrier bars bodies breakages clip completing computations continuations crashed crude dataframes dated demo divisor dunder
+duplex easiest encapsulates equation erroneous executions expiration fifty filehandle finalizers flavor forwarding frequent graphics greatly hanging
+hardcode harmless hereof holes honors httplib illustrated inconsistencies increments ineffective inferring infers infinities infringed infringes inode
+inst interpolate interpolated issuer judged justify layers locking measurement officially packing paper phrases picklable placeholders plugged
+plumbing poor preprocessed propagates prove pyspark quantity redirecting regularly repack roll rvalue scores scripting semicolons served solutions
+strftime successive thereby tips tmpdir today torch translating tuned unambiguous unconstrained unmatched unregister upgraded urllib utilize versioned
+activating advancing aggregated alterations analyzer automated awaiting barf bears busy capitalized charged chop circle collapsed committer complains
+compromise consensus creative curly dance datatypes designate diagnose dims discoverable dividing eight elsif enters examining expense expires fear
+fitted flakiness functioning gathered guessing horizontally illustration inactive informed initiated innermost insufficient interprets java joins
+learns lenient licensee linearly malfunction matplotlib mismatching moral negated negligence occasionally octet outermost piped placement plaintext
+prerequisites presumption queried quot reality recommends reindexing releasing reportbug reworded sampled sibling signifies stacklevel standardize
+suffixed superfluous throughput toggle tort transformer translators ultimately unmerged usages volume aborts adjustments adoption anchored apparent
+arrives asan audio authorize backtracking bookkeeping breakpoint bugfix buildbot buttons bypassed cares cased categoricals cheap checkpoint chunking
+clever cond contrib copyrightable correspondence covering customizing daylight decrypted defunct delegates delivery determination directed disappear
+disclaim discourage discriminated discussions disrupt eggs errored eslint exhaustive expat facing friend gateway generics gitk goodwill hangs heads
+hesitate hosted iloc incrementally inevitably inhibit joint libasan lifecycle listlike losslessly mailbox millisecond mime mocked monkey needlessly
+nonexclusive norm obfuscation obscure onnxruntime paren ping preferable presentation protobuf pulled qsort quantiles quantize recognised refspec
+reporter risks royalties scales scanner scheduler slight stacking standardized stoppage subinterpreters subtracting surprise synchronize taint
+testcase ticks toward traced uint unrestricted unwinding viewing wall xmlsec aggressively automate beforehand buildbots cancelling compensation
+concepts concise contextual copyleft country culture datagram ddof deallocated decryption denoted develop diagram discards divisible docfix drain
+fallbacks faults fetches flows frees harness hereafter hides homogeneous iconv idiom ignorable improperly incrementing indents interpreting killing
+latent libgcc lieu loopback messier migration mips mistaken monitoring multibyte musl newest numba obey occupied office onboarding ongoing opinions
+organized overlong paint pickleable plural pops precede preferably prepending preprocessors prerelease prereleases pruning querystring ravel rebuilt
+rejections replicate resized reso resolutions restricts ruff separates sequentially serializes shutting squares stacktrace star stmt stride structural
+subparts summed swallow syntactic ternary thank threadpool thunk ties timely uname underflow unregistered untouched unwrapping utilizing valuable
+voluntarily wasted whitelist abruptly adaptation adapters adjusting ansi answers argparse attaching attachment awkward backporting backtick binds
+bitmask blog bugfixes canary capacity capitalize cerr chooses classmethods click clobbered coloring competition constexpr consulting courtesy
+covariance cpython ctor curves daily dealt decent decrement deepcopy denied deployment deque desc descendants designation dgram dial dictates
+dispatching downcast eligible enjoyment environ examined explanations federal finer fooled fora forums gamma graphs heirs href identities inexact
+inherently initiate injury insn institutions intermediary lacked linkage linting maxsize microtask mitigation modulus music myself namedtuples
+nonlocal nonnegative notifications offloading omits optimizing outfile parens persistence picking pixels prefers preprocess priorities proof prop
+propagating pruned publisher races redefinition refname regrtest remotly removals reordered resumes revealed rsquo runtimes safest seekable selectors
+shar signaling silly sizeof sold squelch stateless strbuf suffer summarize summarizes superclasses supplies synthetic therein tightened tilde
+transmitted truncates typographical unaligned unfair unpickle volunteers weighting academic accomplished activation agency aggregating algo animation
+archs arrive artificial atexit autogenerated avoidance benchmarking breakpoints bufsize capitalization ceiling centered challenge circuit codepoints
+collective commandline complies contacted conveniently courts cryptography decremented deserialize detach detriment dimensionality distros divmod dups
+exceptional faulty feeds finders flattening graceful grouper helped hmac homepage hood imagine inappropriate infringe intending interior introspect
+intuitive inverted iter iterative keepalive learning lexicographic liblzma lite localization mangled mdash meantime memoize mixture narrower needless
+negatives netloc opener oriented origins overflowing overrun paste peak permutation permutations plots projection pytz randomness recast relations
+representative reraise reserve residual retrieves selectively sequencer setters severe severity shortened simplification simplifies snippets spellings
+sqrt squash staging stamp sticky streamed stringified strm styled subtests suppressing syntaxes testsuite thereafter thereto threw topmost traversed
+unpacks uploads usefulness weakrefs weeks widgets adequately advantages aggregations allocates alphabetic android atom awaited behaving believes
+bigint blah broadcasted calculates caveat clobber committing compressing compressor constinit contracts contributes crafted decoders deletions
+denominator derives detector dialect durations duty encountering establishes estimates estimation excel exercises expenses exploit exploration
+faithfully flagged flavors forks forming fragile frozensets fsck fulfill functools fuse futures gotos graphical greeting hasattr hurt impacted
+importantly improper incur inflate influence invariants invisible keepdims knob lawyer libatomic libtool licence loadable lsof mipsel miscounted mmap
+mocks newlib ninja nocover nullptr offload outputting paid parametrization parametrize pathspecs performances piping plug pointless poll pollution
+predecessor predicted press prominently proportional punycode receipt recreated reloading remotes renderables reopen resp salt searchsorted
+sensitivity servername serving seven similarity simplifying simultaneous singletons sketch skew sounds specifics speculative spin splice stacks
+statistical stupid subsumption summation surface suspect theoretically unevaluated unparsed unzip upfront uuid varargs venture versioning waiter walks
+willing workgroup workgroups writers accident accounting affirms altering alternating amdgcn animal anybody anyways appreciate arrange augmented
+balance boilerplate broadcasts brotli buildd cartesian classname closures commitdiff commons competent comprehensions conditioned confidence criterion
+cultural currentness curses customizable darwin dateutil deduction degradation delegated deltas dereferenced dlopen emitter emoji enforceability engin
+epsilon equitable esac estimator executors exhaust figures fixincludes folks follwing fprintf freshly gang geometry grammars greedy highlighter
+illuminate importers initialised inlined installers interprocedural invalidated irrevocably keypress kills knowing lengthy lesser libbacktrace
+libdecnumber libgccjit libgfortran libgnat libgo libiberty libitm liblsan libobjc libsanitizer libssp libtsan libvtv likeness linecache marco mirors
+mounted neater negate networking nodejs nonstatic notebook nrows numeral offering originated owning parseable pedwarns pivot polling polynomials
+postmortem practicable precomputed probe proc profiles promotional prompting pycon ranks rational reachability realm realpath rebased reconstructed
+recurses refusing reinterpreting remotely reprs reshaped responds restricting resumed retroactively rollback rotation rvalues sandbox savings scoping
+scroll selective shadowed shrinks smarter soversions spawns specifyer speculation sprawl submitting substantially subtest tabular templating tend
+threadsafe thresholds tight tkinter todoo tolerant toll toolchain tricks tunnel unambiguously unbuffered unescape unpickled unrecoverable unsorted
+upcasting usecols vcbuild vectorizer waited waiver warrantee wavefront wavefronts xmlns abstractions algebra anthologies apparatus argsort arguably
+arrangements assure asymmetric authored automation backlog backoff binascii boot borders builders byteorder canonicalize categorized changelogs
+cleaner collaborative commence comp confer counterparts deduplicate defers density derivation destinations destruction disks distinguishes doubling
+dpkg dumped elect elects emeriti emulates ephemeral exotic explains explode families fixer forcefully formal geometric globs glue grey happily harm
+hashtable hatch identifiable illustrate inconvenient integrating interfering landing layouts linefeed locating longdouble luck mailmap maximize metric
+midx negation numexpr operated opinion orig originates overlapped packagers parameterized pasted pathological persists plane preamble predict
+preliminary presents preset pressed pressing prioritize profits programmers prospectively rebuilds recipe recompiling redefined redo regarded
+reimplementation relax relinquish repair reproduction restarted restarts rotate semaphore sliding slowest smuggling somebody sponsoring statistic
+stopwords stringification stylesheets subversion sugar sums suppresses suspended symmetry targos tempdir territories textconv thorough threat tolerate
+topological trained unbiased undesirable unencrypted unimplemented unlock unquote waive warrants watching wherein workflows zoneinfo abandons abuse
+accomplish agents albeit amongst ancestry appeal appendix approval approximated attaches authoritative autocompletion backtrace brings cancels cats
+cautious cease characteristics chrome codepoint compulsory confirmation consented consents conspicuously constituting contemplated contravention
+cpplint cumsum dancers deadlocks demonstration depicted discretion distributor dists dramatic duck duplicating elliptic emails emptied encapsulated
+enforcement enhancement entrypoint everybody expandtab experiment factorization fileobj fullest funcname gains globalns harden headings heterogeneous
+importance inaccurate indirection ineffectiveness inequality infile initialisation intercepted intro invalidity irregular iteratively judgment
+justification labeling laid legend licensable listens literary logits lookbehind mantissa metaclasses mimicking misses misuse modeled motivations
+multiplying musical ncurses nevertheless notifies noting nums observe overtly paging parameterize planning pooling popping posted presently
+preservation prevailing proceeds promised promotes promoting prompted pronouns provisional pseudonym pulls qualname quarter quotient rapidly realize
+rebinding recompilation recursing redistributing refine refreshed reloaded renegotiation repeatable repetitive resample rescission respecting
+restarting reverts revoke rework rooted routed scatter seriously shortcuts shortly shuts society sometime sought spot squelched steward strictness
+sublicensable subplots surrendered surrenders swapping synonymous synthesize teams tighter torn touched transmits troubleshooting turtle tzaware
+unauthorized understandings undone unsure untested urlparse uvwasi vals variadic wise yaml yanked accumulates acknowledgements acronym actors
+aggressive alternately analogue announcement archived arraylike articles automake balancing bear behaviours bells branching browse bumped chart
+cheaper chown clamp clarifications cleans clicked clustering clusters colour commercially commutative companion compensate complained complication
+computers conceptually considerably contextmanager corporation covariant coverity craft deallocation decompressor decreases dedent deem defaultdict
+degenerate delays delegating delegation deliberate depcomp deprecating deref desktop destructuring detailing differentiation dispatcher dispatches
+dollar drafted earliest editors edits embodied emphasis encourages endless engineer engineering ensured entertainment envelope eventual evil
+exponentially fell firewall foundation freebsd fsmonitor funcs generalized generous granularity grayscale hacks hacky hardlink hardlinks hashed
+helping hundred idiomatic indenting insane instruct intp introspected kick lbnd leverage libgcrypt libglvnd llhttp localns manpages messy million
+movement namespaced napi networks noisy nonsensical obtains opinionated ours para partly payloads peek penalties picks popup preciese presenting
+promisified promisor psdf pulling purposefully pursuant pydoc recognition recompile rect registries relate relicensing resuming reword rewrites
+rotated schedules securely seemingly semaphores setuid shareable shot sing sink sponsored sprintf stand stress stringent study subarray subnormal
+subpackages subscribed suppression swaps symlinked synopsis terrible titled toctree tokentype triangular tricked unbind underlined unref unstructured
+unversioned uploading userland viewer vocabulary wasting wind withdraw wrongly xfail zipimport advisory alike alloc announce apostrophe assent
+atomically augment awaitable backfill backpressure batched bootstrapped brand bright canonicalized cctest ceil challenges chances changeset circumvent
+clipboard cmdline communities concurrency conditionals conducts connectivity contemplating continuously contributory corepack creations crucial
+cryptic cuda currency defacto definitive delimiting denial deployed deriving destroying differentiating diffstat discrepancy dispose drained dubious
+elegant elem embedders embodiments emeritus employed emulating encapsulate encoders enforcing enjoy equivalently erase evolving exhibit exploited
+explore extensively faulthandler ffill fingerprints firing forcibly forgotten frameworks freqs frontend funded geography grok handed handing hashlib
+historic honour hundreds inaccessible inclusions indemnify inexpensive infinitely initiates investigate isnan keyring klass knew lacking landed latex
+launcher lockfile logarithm manipulates marginally materialize mere micro mkdtemp multicast multithreaded mutilate nanos narrowed nftables nightly
+nits numerator onerror onward overloading painting parallelize pathlib paying periodic permissively phases positioned preexisting prefixing presumed
+price printer proxied pseudocode publishes pummel quant questionable quirk randomized readme reassign rebasing recarray recipes reclaimed recompute
+recovered rejecting relaxed repacking replies rerun resampling research resilient retention reuses reverting reviewed science scrypt seealso
+selections settled shaped sidebar signalled simplifications sits slowdown smooth someday speak speedups spinner spirit sponsor sponsorship stock
+strided strptime strs subarrays subdir sublicenseable sublicensed subsequence suffice swallowing texinfo timeframe touches traditionally triplet
+tunneling unaware uninstalled uniq unittests unofficial unresolved vanilla visualize wakeup wanting widest worktrees accompanied acorn adaptations
+administers alphabetize analyse arranged artifact asserted assimilated autocomplete banner beware bfill blocksize boost boring bridge buckets
+bureaucracy calibration canvas card chapter charsets choreographic cinematographic cinematography circumstance circus clocks coalescing complaining
+confident confirmed constantly consulted conv coordination deadline declaim decodable deduced demarcate derogatory destroys devised dialects diffusion
+distort distortion diverged draining editions election encyclopedias engraving ensurepip enumerates evidence evolve excellent exitcode exploring
+exponents exprs faith fancier fileno filetype fixation fixations flattens flowing fname folklore fsspec genuine getopt globbing gnutls gradient
+graduate growth guesses hierarchies hole informs infos initiating insensitively insertions installable instructs interacts interspersed inversion isin
+isna ivar jasnell lecture lexically libcurl libexslt licenced linesep lithography loosely lossy magical makefiles mangle meeting meson midpoint
+misspelled modernize musicians mutates mutilation navigation nished nonstandard normalised occasional optimizes ordinals packrat pain pamphlet pasting
+patt performer phonogram phonograms photographic photography picker picture pixel pointwise pooled positionally pprint prejudicial preloaded prev
+preview privilege prod progressively promisify propose props quitting readily rebroadcast rebuilding recitations recognizably recordings rectangular
+redirections redistributors reducer refrain regenerated reindexed relates relationships remark reraised resizing resolvers reversing robustness rtol
+rvagg scipy sculpture seeds selectable sensibly sermon settable shortlog shutil sigma simulated singers slurp snprintf sortable sourced spit stabilize
+streamline subinterpreter subpackage subpattern superseded surprises syscalls sysctl teach technological tedious tempting themes toks topography
+translator traversable ttype unchecked uncomment undici uniques unprocessed userdiff utterly varied vast violations visually walker warm weakly weekly
+whence whereby wireless zeroth zipped accompany accumulator advisable agnostic aimed aligning ambiguities amending ampersand anticipate anytime
+approve atol awaits backgrounds backports backtrack balanced batching binutils books borrow bounding bullet cards cflags chardet cites clashes
+clipping clutter collapsing communicating complaints completer conclude confidential configures confirming constructions conventional convergence
+conveyed cumbersome danger dbus debuglog decoration deduplication defective deferring deficient descend descr designates disambiguation disappeared
+disclosed disconnecting discriminator discussing distributable doctool doubly downgrade downside drains dramatically dsig dying edition elaborate
+emacs emphasize encapsulation encrypting english enumerated enumerating equiv exclamation exploits fakeroot fastparquet favour finalizes flex floordiv
+fnmatch forum fstat fulfilling functionally getaddrinfo glossary gobble gratis groff guarded gunzip gzipped hacked harmful hell holidays hoping
+incorporating induce inet infix initializations insists instant interruption introductory invented iptables ipython isinf itertools kurt labelled
+lands lexsorted licensees linguistic listened lossless macos magically manuals margins materializing matmul measuring memoizing messes metacharacters
+modular monkeypatch mutations nbytes ndash netrc nickname noticeable nullish observable octopus ordinarily orient orthogonal overruns pads panel
+papers parenthesized participation pays percentiles percents physically pickler populating possessive postfix precisions primordials probabilities
+probes pseudorandom purge pysqlite quirks ranking readdir recompiled reconstructing recursions regulations remedy removable reproduces resemble
+residuals resurrect rethrow retired returncode rolled rotating roundoff routing saner scrollbar sensing setattr sheets shifts shrunk shuffled siblings
+signalling silenced slowly snap solves sparc specialization squeezed squeezing staticmethods statuses steal stepping strategic strength stretch
+stringifying strlen studied subdirs subexpressions subgraphs subroutines subsequences subsystems subtracted suck susceptible synch synchronized
+tarfile tcsh terminators testable thousand tidy tooltip traps typeset uncommitted unencoded uninformative uninstallation unintentional unintuitive
+unlabeled unlinked unorderable unparsable unprivileged unreferenced urlopen verifier wasi watchdog wholly wonder worthwhile xdiff xterm accent
+accounted accumulating accumulation activities addaleax advertisement akin alternation alters analyzed argmax arises asof assess assistance
+associative asterisk astur audit auditing authenticity automagically badge biased borrows boxplot bubble bubbles budget capath caps cascade cascading
+century cheat checksums choke cjihrig coercible coexist collectively colours combo competing compilations compromised concatenates concluding
+consequently containment contradict contrarily contrived cure customary cutoff cuts datetimetz deallocate debugged decomposed decrementing
+deduplicated deflake delaying descent differentiated difficulty difflib disappears disjoint ditch divides dolor dotless doubled dumping east eats
+effectiveness eigenvalues eliminated empties encodable enforces enormous establishing euro evanlucas examination expert exposure extant extensible
+fips flood folds foobar fragmentation framing fuzz fuzzer games gitignore governance gpgconf gradually grammatical granting greet groupers groupings
+gypfiles impacting inactivity initiative initiatives instantiates intends interleave interrupting intl invalidation keyfile keying kicked kinda kludge
+leader lexing lexsort lgpl liberal libm localtime locs logistic looped loosened mainloop materialized messaging meter mimetypes misbehaving misplaced
+mobile monkeypatching mozilla msvcrt multipath multiplier mutexes nargs negotiate nettle night nine notations notifying nowhere observer occasions
+offline opted optimisation optparse orientation originate outbuf outlive overflowed overridable palette participate peephole persisted pertinent
+pinning plans plotted pluggable positionals postpone ppid preimage prepends privileged prob progresses protects proves provoke purelib pygmentize
+quantities quartiles quota racy randomization ranked ratios rcond realistic reciprocal recognizing recomputed recoverable refleaks refnames reopened
+reparse replayed resembles reveals revisit revs rmtree ruleset runnable sans scrolling seeks setlocale shadowing sharex shims shorthands shrinker
+simulates slack slip smoothing snake sock solving soname structurally subjects sublists submission subplot subscripted summer supersede swallowed
+synonyms tabsize tampering tbody temptation terribly tester theoretical thirty thumb tighten timings tire tokenization tolist tracemalloc train
+tweaking typevars typography unbalanced uncompress undeclared undefine unhelpful unintentionally universally unloaded unmapped unquoting unraisable
+unterminated userinfo usernames vague valued viable wasteful webserver woken workloads zipimporter zombie zombies abbr abide accompanies adheres
+administrative administrators affinity afterward alarm algebraic alternates announced appauthor approx arity arrows aside assets associates assorted
+atoms authenticating authorizes autodetect autosummary backspace backups barfed beneath billion bisection bottleneck boxing bringing bumps bundles
+ccache checkpoints chomp citation coalesce collation colormap complaint comprises condensed consumable contention contest convoluted correcting
+corrects counterintuitive cummax customarily customizations daemons deactivate decompresses decompressing decrements defensive defs demonstrated
+designer deviations dialogs difftool directing directs disallowing disambiguating disclosure documentations docutils dtrace echoing elevate elevated
+embeddings emission employer enclose enqueued environmental evaluator evict exemplary exhausts experiments expiry exposition externalized facilitates
+faked falcon falsey favoring favorite feels fifo figured figuring filemode filler firm focused fortran freelist freezing functionalities fundamentally
+gathering gdbm gender gitattributes gitdir glitch gnome googletest grabbing halfway halt hasher hashmap hist histories horribly hosting hourly hurts
+idlelib impacts implementer implementers inability inconsistently induced inequalities inevitable influences infs inheritable instrumentation
+integrations intelligent intelligently intensive interference interned interpretations ipsum justified keygen keyserver legitimately leniency licensor
+licensors lifespan likes linenumber linewise locator longs lzma maintainability mangling marshal mathematically maxlinelen maxpower medians menus
+messing mimetype mine minidom minimizing mirroring misaligned misconfiguration misconfigured modeline muck multiplexer multiplicity nearby negatively
+neutral nodeid nogil nondeterministic normalizations nowrap oauthlib objections obligated orderable orderings pairing paradigm parametrizing
+participants patchlevel payment permitting pitfall platlib plays plenty populates postponed prebuilt preferring preloading pressure presume priv
+proactively probable proved pserver pthread pyflakes pyver quic react reassigned recursed recycled refcounting reflecting reflection reformat refspecs
+regressed regularization reinstall releasers reliance relicense remembers replaying rerunning rescan restructuring resumption resurrected reviewing
+rewrote rigorous rmdir roaming sanitize screw secs selling semver sendfile setgid setups shipping significance simdutf simplistic skill skiprows
+social solar solver sorter spanning sparsely spline spoofing sqlite squashed stem sticking stimulate subpatterns subscription subscripts subtrees
+successively summing supplementary surrogateescape suspend suspicious syslog tagging techniques temporaries tentative termios texture thenable
+thoroughly tickets tokenized tolerated toss touching traits transfers transposing trapped triagers trimming triplets ulimit undeprecated unhappy
+unmark unpickleable unreleased unstack unsuccessful unwise upwards utilization utilizes validly variability varname vastly vertex vertices virtually
+volumes voting wadllib wasm watermark weaker weekdays windowing workspace writelines writev xslt yellow abbreviating abstracts abusing accessibility
+activations adaptive adhering administration adopt aggfunc alleviate allocators amet analogues announces answered apis apple approximates arglist
+arranges asarray attackers autodetected autoselection avail awesome backslashreplace beam beer biggest bird bitmaps bless blockwise blows bnoordhuis
+boldface bonus botched bracketed bracketing browsing bulleted cadata calc canceling cardinality cdef cffi chopped chronological cial ciphertext cited
+classify clickable clicks clobbering cloneable clue cmake coarse coef collide colno colorful columnar compresslevel comprise comps computational
+computationally conceivably conclusion conclusions confuses conjugate consectetur consecutively constrains continually controllable conversation cool
+copyedit corners correlate cosine crap crazy cropping ctype cube cummin cumprod danielleadams dashed datum dayfirst decl decorating decrypting defeats
+delim deliverable dependence dereferencing descended deserializing designs desire destructors diag diagnosing diagonals disagree discovering drafter
+dragging dtor editables elit elseif embeds emulators endorsed enrich entangle etag exclusions excuse exempt expansions exporter extensionless faced
+factories factoring factorize fflush fifth figsize filehandles finalizing firstlineno fixups flake flipped flips forkserver formalize formally
+formulation freeware freezes fromlist fuzzing glance glyphs gtest guided hands hardly heart hexdigits hotfix humans imaging imitating implication
+incapable incidentally increasingly indexable indiscriminately infringements initialise initiation injecting intelligence intermittent interning
+interp interrupts intervention invalidating investigation ipaddress irrespective irreversible isdst jitted judicial keylen kicks kurtosis launches
+lawyers leakage libassuan libdes lifetimes lightbg lion llvm locality locates loggers lying mandates manufacturer marshalling mass meaningfully
+mechanical memoized mergetool metavar migrating minified mishandle misinterpreted misused mktemp modeling moderately modernized modname modulefinder
+moments motion msgpack multiclass munged musllinux mutability nano neighbours nominal nontrivial nopython normalise normcase nullability numerics
+oddly omissions oneof opacity opportunities orphaned outbound outputted overwrote parallelized passphrases pictures plausible played ployees posn
+postject pragmas precomputing preformatted pretending principally principles printables pronoun proportion prototypically pyexpat pythonw qualifiers
+quantifier quantify quicker quotechar racing radians railroad rand realloc reals rearrange recall recommending reconnect rectangle recv redact
+redesign redundancy redundantly reentrancy refcycle refleak reflogs refreshes registrations regulation reimplement reinitialized relational releaser
+relevance relocated remap reminder replicated reqs reshaping reside responding restoration restructured retval revamped reversion richardlau ring
+risky rollup roman roundtrips routes runpy ruyadorno scala scans scrolled sequencing simplejson simulating sitting skewed sleeping slide sloppy slows
+smartos smtp snapshotted specialised splitter staged stalled stashed statute stepwise strengthen structuring stylistic subdiagrams subkeys subnet
+subpart subs substance subtyping suffers suppliers survives suspected symref tagger tagname telnet tenth textwrap thenables thoughts tightening
+toggled tolerances toml trash traverses trial trickery trickier trivially troubles turtles typename tznaive unacceptable unassigned unavoidable
+unblock unbox uncached unclosed unconnected unflag ungrouped unlocked unnormalized unpipe unportable unprefixed unqualified unreserved unrolled
+unshift unsquared unstacked unsubscribe untyped upcasts vendors vital watched watchers watches whilst whitelisting winner wishing withdrawn wrongs
+yearly young abbreviate abcd abstracted achieves acknowledged acquires addinfourl adipiscing adjusts admin advances aforementioned ages allocs
+allowlist amax analogously analogy anim answering apache arange archiving argcomplete argtypes arriving artificially asset atime audience
+authenticates authorities band barthelemy basenames bbox bench bgcolor binmode blessed blessing blink bomb braced briefly broadcastable brown bubbling
+burden bytecodes bytestrings cafile capsule casual catalogs cdrom centers certification chainable characteristic charmap checkin checkpointed choked
+claiming clarifies classifies clipped coercions coincide colorama colorized comfortable commitment communicated complements compresses conduct
+conftest connector contracted contradiction contravariant cooperation coordinating cork corpus correlations cosmetic countdown courteous cron crop
+crosses ctime currentmodule damaged debhelper debuggers decay declarative decreased dedications deduce dedup defeat degraded delivers deployments
+detrimental deviate devoted diagnosis differentiates digging disaster disconnection disconnects distances distinctions divisions django door
+doublequote dozen dport drift eating ecdh editorial einsum empirical enqueue epoll errata escapechar estimators eviction executabiity expressible
+factored factorial fieldname findings fish flawed fontsize frac fsync funky gaining gigabytes gitfile glib gray greedily grew guideline hairy halves
+handshakes hardened hardwired harmonize harmony health heated heights holiday honours horse httpd hung imap imitate immediates immortal immune
+inaccuracies inadequate inbuf independence indeterminate inferior inodes inspectable inspects instability instantly instr instructed intercepts
+interleaved intermixed interop interoperate interpolating intimate intraline invalidates isexec isort isup jointly jquery juanarbol junction keen
+kendall keybindings keychain keyid keylog keypad kids kohta legit libpng linalg linkedlist linters listings living localizing loophole love lsquo
+mammal massage massive maxdepth maxlen mbcs measurements memmap memoryviews mesa metacharacter middleware mingw minimally minimized misbehave
+misidentified misspellings mmarchini mngr modal moderation monic monkeypatched mono motivation msec mtimes munging navigate ndiff neglected negligible
+negotiated netmask nomination normpath oauth objective objs observability oops oparg openpyxl opname outright overcome overkill overline overwhelm
+parameterization parametrizations parrot parrotting parsable passthrough pearson perldoc phrasing picky pids pins player plist poking polar popups
+precludes prefetch prerouting pretended pretends primes primordial printout proactor progressive promptly provisionally prudent punctuations punting
+purchase putmask pytorch quad rabbit radix rdivmod readiness realizing reaped rebind reboot recalculating reclaim reconfigure reconnecting redefines
+reevaluation refcounts referrer refloat reformatted regexps reintroduced relay remind renegotiate reorganized rephrase replicating reporters reprlib
+resampled rescale resistance retrievable rimraf roundtripping ruby runners sandboxing saturation scattered scoring sdists seeded seeding segfaulting
+sensors settle sharey shove sideband significand simulation sizing skewness solaris solicit sooner sortedness sparsify spearman spectrum sped spending
+spite spkac spring staff stalling stemmer sublist subok substr subtly suffices suitably suits superscript supersedes synched systematically talks
+testsetup textbook thead throttle tightly totals tradeoff transitive transpiler triage triager truecolor trusts typechecker typecode typings
+tzawareness tzname unconsumed unconverted undecodable undergo undetected undetermined unfolded unload unmask unmasked unobserved unprintable unscaled
+unsound unsubscripted uppercased upsampling uptime userid utcoffset vander video viewport visiting visitor voice waking warmup weaknesses weakrefable
+welcomed wget workbook workload yohhoy abandon absorb accelerated accelerators accumulations actionable acute adopting advise alarming alerts
+alignments allclose altsvc amin amplification angles animals annual anticipation approvals arabic argmin argspec arry asciidoc assessment assurances
+assured asterisks autoattribute autodetection autoload automating autouse averaged awareness backs barewords battery begun benefiting benign beside
+binned binomial birthtime bisecting bizarre blinking blksize blowing brainstorming brevity broadly brute bubbled bugtracker bundling canonicalizes
+careless castable catchall categorize cdata ceases centralize certifi charges checkbox cherry chopping churn circumvented citgm clashing cleartext
+cloud codebytere codepage collectors colorize combinators commutativity companies comparator complementing compliment composing compressors comprised
+concatting conceivable conformant cons conserve consolidating consolidation construe contextify contiguity contraction contradicts controversial
+controversy convince convolution cookiejar correlated crasher ctags cubic cumulatively curious customise cutting dare dataview datelike david ddir
+deallocating debpython debundled declaratory deems defend defendant defensively definite deflated deflating delegator demanded demos demoted
+denominators depths designations developments diamond dice differential directors disagreement disambiguated disassembled disassembly disastrous
+discriminate disposal disputes distlib docbook docopen doctrines dogs dolore donated doxygen drastically dupes eases ecparam effected eigenvalue
+eiusmod elided elimination emitters emojis empirically endlessly enhancing ensemble enshrining entails entanglements enumerability epilog equations
+escalation essence estimating evaluations excepting excerpts existent experienced expiring explicitely exponentiation expresses exslt factorized facts
+factual faking fallthrough feasible filesize filetuple filterwarnings findall fires fixers flash flavours flaw flipping flooding fmax foot forfeit
+forgery formulas formulating fredrik fullmatch fuzzy gabrielschulhof gallery game generalize getset gibfahn gids gleaned glyph gold gory gotchas grand
+grapheme grepped grown gypi hackery hardest hare hashref hashseed heapdump heredoc heredocs hexbin homedir honoured hoops hops horrible hotkeys
+hunting hybrid hybrids hyperlinks ical idxmin imag impedance imperative importation impression inches incididunt incurring indicative indice
+indivisible inherent injects insufficiently interfacing intermediates intersect intrinsically introspectable inverting invites irrational italics
+jargon joernchen jslint judge julian jumped junctions keybinding keyfunc labelling labore lateral latin lchown ldquo legalese leveraging
+lexicographical lexicon libblkid libev libunistring libxmlsec ligature linkify linkname listdir localname locators logarithmic logout loosen looser
+loud lowered ltdl lttng lvalues magna mailboxes mainline manageable manifests manipulations marshalled matchers mathematics mawk maxima mbox meanwhile
+mechanics memoization merchantable mergy metainfo methodname midyear mille minification misspelling misspelt mixes modulename monkeypatches mounts
+msecs msysgit multinomial multithreading mutator naively naked nditer netstat newcomers nlevels nonamefile nonblocking noun nouns novel nowadays npdev
+nudge numify nunique obsoletes occupies opting overrode packager painful parametric parenthesised participates participating passive passwd pauses
+pausing peel peers perpendicular pkgs polished polite political polkit pollute porters pose postimage posts powershell precompilation precompute
+preproc presses pretrained prettify probing profiled profit progression projected prose protective protoype pser psser pump purple pushdown putrequest
+pygobject pymalloc qname quantification quartile queuing radius rating rationals rdquo readlines reallocation reap recognise recognizable recompress
+reconcile reconsider reconstruction recreating reinitialize reinstated reintroduce relink relinquishes remembered renderer repaired reproducer resend
+reveal reviews rhash risking roff ruled samp sandboxed scenes scorer scraping screens screwed scriptlet scrollable scrollbars searchable searchbox
+semi sendmail serdes serializers serif serverlisten servicing setdefault severed shard sharp signifying sint skeletal slated slave slowed smarts sneak
+sneaky sourceful specialize specificity sphinx spreadsheet standing startswith stata stemming story strcmp styleguide styler subclassable subcontext
+subfolder subfolders subjectively subquery subscriber subscribers subst subtitle subtlety subtrahend succeeding suggesting surname surprisingly
+surrender surrogateescaped symmetrically synced systemctl tack tall tampered technologies tempor tendency tens tensordot terminfo testability testers
+tformat tier tiers timeseries topologically trac tradename trail transpiled travis trials triangle troublesome trustworthy ttinfo tunnelling
+typechecking tzinfos ubuntu ultimate umath unblocked unboxed uncertain uncompressing uncovered underway undesired unforeseen unformatted unicodedata
+uninstallability uninteresting univariate unmanageable unpinned unpleasant unreasonable unrefed unsatisfiable unsatisfied unsubscribed unsuitable
+unwind unwraps updater upstreams upward uselessly vendoring videos viewable viewers vimdiff vowel vstack waiters waitpid wastes water wday webcrypto
+webstreams widen widened willingness winds wisely wont xdeg xdist xlim xlrd xlsxwriter xmllib xpath xsubpp yday ydeg yearfirst zdeg zeroed zipfiles
+zips zoom abis abrupt accented acknowledgments acted activates additive addressable adduser admcd adopts advantageous advises afoul afraid agencies
+aggregator aifc aiming alessandro alfredo alist allegation alphanumerics amend ametzler analyser ancillary animations ansasaki anticipated appendices
+applicability appropriateness arenas argname armin asanyarray asfreq asosedkin assemble assembling assistant atob attachments attilamolnar attributed
+audited authoring autoclass autoreconf awoken backgrounded backreference bailey bails bake banned barfs basedir basics bearer beaten beings bengl benh
+berrange bibliography binning bite bjacke blew blinding blocklist blockquote blown blurb bogorodskiy born borrowing botocore brad bradh brew broad
+broader broadest btoa bwiedemann cachedir calendars callees callsite canonicalization capitals capped casefold cater cent cernekee certfile cfile
+cgallek champion charref chatty cheating checkpointing chris christian chunker clamped clarifying classifier closefd codesign coffee coincidence
+collab collaboration commenting commodo commonjs compactness compelled compensated concisely conda cone conffile configparser conformed conftests
+confusingly considerable constituent constructable consts contextlib conventionally conveying coord coords copyreg copyto coredump corp corr corrwith
+coypu cppgc crate cropped culprit daemonic darktemplar dask dataflow datasource datetimeindex dave dbaryshkov deadlocked debconf debounce debuggee
+decipher decline decls dedication defense delimit delims demands denials denylist deploying dequeue dequeued deregister designating designing destruct
+destructive detaches detectable determinism deviates devtools diagnoses diagrams dictate difficulties diminish dirmngr disadvantage disc discernible
+dispensa disproportionate disregard distant distclean distinguishable disturb divergence diverges dividend divider djwong dlenski dlls dmitrycvet
+dominate dominated donation downcasting downwards dozens drastic dropdown dynamicaly eased easing echoes educational eeppeliteloop eike elems employ
+employees encapsulating enlarge enumerations equivalency erased escaper eslintrc estangler etree evicted exactness explored extname extremes facade
+facto faithful falsely famous farther favourite fcntl fdlibm fdst feeling fenced fftshift fgets fictional fiddled fiddling fiddly fileinput fingers
+fiorinaf flakey flakyness flameeyes fledged flexibly fliers fmin food fopen forbids forgiving formalized fortunately framed fruit frustrating fspath
+funding fusions futile gate gathers gaussian generality generalization generically geographical getline gettz gjasny gmplib gnulib goaway governs
+grabs grace graft granular gratitude grave gscrivano gufunc gustavo gutter habit hacking hans harmonic headless heapify heapq hear hellip
+heuristically hijacking himself hinting hkario honoring housekeeping hovering hrtime hugo hyperbolic hyperlink icky icons idempotency ihsinme implying
+imprecise imprecision inadvertent inappropriately inbound incentivedesign incl income incredibly indentations inds inetd influenced informing
+insensitivity insisted instrument insulate integrates interchangeable intern internalized interpolations intuition inversely inverts ioctl iojs
+irritating isfinite isolates italicized itumaykin jaredlwong jitter jjelen jklimes johab jpalus junit keynames knobs kqueue krenair kroosec kzhao
+latze layernorm legendecas leimaohui libgnutls libidn libssl linebreak linkers linspace listbox listlikes literature loadtxt localisation logfile
+longstanding longtable lorem loudly lowering lowers ludo luisgf mabrand maierman mancill mandate mandated marga market marketing markings marshaled
+marti martin matt mature mbakke mcatanzaro measurably mechanically mechglue megabytes meissner melt memoizes mgorny mhdawson micah microtasks migrated
+mild mildly milestone misalignment misdetected misleadingly misparsed mistyped mksnapshot mkstemp mktime mlichvar modelines modifiable mojibake
+morgner motivated mousedown mousemove mouseup movie msvc mukrop multiarch multiarray multicolumn multirow multisets munge mylesborins namelist nanops
+nationals nazard ncalls ndmin nisi nmav nodedata noloader nominated noncommercial nonterminal normalising notarization noticing notions npocs nsivov
+nulla nullprogrammer numarray oblique observers observing oddball odds offboarding ofrobots omoris onabort openers opsets optarg optgroup optimised
+optind optionals optname oracle organize organizing orients orthogonality ossman ourself outliers overdetermined overlay overriden overrule
+overzealous pareto participated passage pathing pdknsk penguin percentages percolate perm perms perror persisting peter phillipj phunkyfish
+picklability piecewise pings pinpointing pipelined pipelines pipping pkgutil playing plotly pluggy pmgdeb pmonrealgonzalez pnpm polish polluting poly
+polymorphic popen popularity portiions positioning postal postinst postprocessing pred predates predecessors predicting prep preposition prescribed
+presets prevention previews primality printoptions pristine privately processstdout productive prologue proportions prospective protections protos
+provably pthreads pulldom pulse punch purchased purposely pydebug pyopenssl pypug pytables pytimedelta pyversion quadrature quantified quantifiers
+quantizes quantizing quarters quis quopri radio ragged rajramanca randomize rankings rapid raster rcorreia rdev readahead rearranging reassignment
+rebound recalculate recalculated recomputing reconstituted recovering recurring redacted redefining refactors refinements refreshing reimplementing
+rejoin remapping reorganize repacked repeatability replays replicates reporthook repost reproducibility reputations reschedule residence resident
+residents resistant resolvelib restructure restype retryable revamp reverses revisited ricaljasan rickard rkey rlwrap rmax road robert robertonewmon
+rollover ronkorving rootdir rootkea router rowan rpartition rpearson rsplit ryzokuken sadie sadly sahana salts salvage saper scalable scary schedulers
+school schwab scissors scream seals seamless seamlessly sebastian secrecy seeked sentinels serializations setenv shades shallowly shelf shield shlex
+shortening shuffles sick sideways signum simd simo simon slab slate sleeps smueller smuggle socks sorry sortorder sparsity specialist specializations
+speedy spelt spends splines splitext splitlines sporadic spotted spuriously squashing srcdir sskaje stamps stanza starred starttime statics stbuehler
+stealing stefanb stefw stewards stlman stolen storable strangely streamlining strerror stretched strike subdivided subexpression subfield subitem
+subnormals subscriptable subsection subshell subsidiary substantive successes suffered suited superscripts supplemented surfaces surround survey
+symlinking syncing sysconf szidek tangent tape tbreak tear teardowns telugu temperatures temporal terse testcases textview theorem theta thoger
+threatened timeit timeline timerify timesteps titlecase tmraz tobytes tofile toggles tokenizing toknum tone tony tooltips tortious tortuous totality
+tput tquemerais tracer trampoline transactions transcode transcribed transmitting transparency travel triaging trunk turtledemo tvars tweet twoaday
+typefaces udpate ueno ulong unadorned unanswered unblocks uncollectable uncomparable uncompleted unconfigured unconsume uncontrolled undecoded
+underlining undoing unecessary unencodable unescaping unioned unmaintained unmanaged unnatural unnoticed unpacker unpatched unpickler unread unroll
+unseekable unsent unsetting untranslated unzipped urgent urlencoded urlretrieve userdata userspace uuencoded uuencoders vanished varint vcizek verbal
+verbs versatile verto virtualenvs visualization vulgar walters webbrowser websocket webstream weekmask werror west whatwg whiskers wholesale whoops
+widening wikipedia wink winsock winter wipe wishlist xfailed xinclude xine xmlrpclib xmlto xnox xticks yarrow ylabel younger yumkam zeroing zfridric
+abcde ablaj abnormal abnormally abortcontroller abortsignal absorbed abspath abstractmethods absurdly acceleration accommodates accomodate
+accumulators achieving acquisition acton adaptability adapting adaption adaptor adapts addendum addrinfo adhered adjectives admission admits adverse
+affine aids alarms alice alignable aliqua aliquip allfiles allowance allowlists alnum alphabetized alphanumerical alphanums alphaword alright american
+anchoring anew animated anomalies anon anonymously ansicolor ansixxx antialiased appease appendable applet applets apport approaching approxidate
+approximations aqrln archiver arena argtuple arose arraybuffer arraysize arrived assigner assures astring asyncore attlist attname attributing
+augmenting aute autocrlf autodetects autoflush autoloaded automates averages averaging awakened bailout bang baseclass bastardised bcrypt beep begidx
+beginners benchmarker bert bidi binder binop bitstream blamed blazing blind bloat blurred boards boils bondage boom boosting bothering bottommost
+bplist bpnumber bracecc breath brian buffersize buglet builddate bulletin bumping byteswap cacheable cachecontrol cage callsfunc calvinmetcalf camel
+cancelation canonically captive caseless catastrophic catering causal cautionary cbreak cdroms centralise centre certainty certified cessation
+charclass chat checkable checkbutton chokes chromatic chromium chroot cidr cillum circles circuits circumflex city classdef classical classifications
+classifiers classnames classobject classpath classprefix clearify cleverly clines cloudpickle clues cluttering cmap coalesced cobra coccinelle codify
+coherent cold collateral colliding colorbar colorizer colorizing colormode colornames combinator combos commandprefix commentary communications
+compileall complevel complib complications concatenations concats concision condense configurability configurator confirms conjecture conjugates
+consequat consequent consolas consonant contacting contaminate contextified contig continental contingency contingent converse convinced cooked
+cookielib cooordinates copyable coreteam coro corrupting counterclockwise countermand coverdir creators cred crlf crypo crystal ctext culpa cupidatat
+cured curlies cvar cyrillic cythonized danbev dangers darcs darker datastore dataurl dayofweek dconf deactivated deadlocking dealloc deallocator
+debounced debt debuggability deciles decouple dedents dedicate deducted deepest deference definitively deflation degrade deleter delineated denies
+denominated denormal deopt deoptimizing dependant dependents deploy dequantize derivations deserunt deserve designee despair destructure destructured
+detaching devs dfile dhparam diacriticals diagrammed diags dialogue diameter dictated dictitems diffed diffusers digitally dirnames dirpath
+disadvantages disassemble disassociates disclaiming disclosures discontent discovers discretionary dismiss dispersion displayhook disposition dispute
+disruptive distinfo dkls dnlup doable dodge downloadable downsides drawable drawables driving droplevel duckdb duties editorconfig editwin educated
+elected employers emptying emscripten encompasses encrypts endfor endorsements energy enim ensue entanglement enveloped envvars epilogue erasing
+errmsg erroring ethical evade eventtarget evolved exam excessively exchanged exchanges excinfo exercitation exhausting exhaustively existings
+expendable explicity exploitable expressive extents eyeballs faces factorizing fancyvrb fchown fearing feminine fget fidelity fieldset figcaption
+filedescriptor fillchar finfo fingerprinting firefox firstly fixme flatiter flatmap flight flist focusin focusout fontawesome fools forbidding forest
+forgets foundational fputs fread freedoms freshness frexp ftpd ftruncate fudge fugiat fulltext fullwidth funcargs fundings furthest futureproof
+garbled gcovr geared generalizes geographic getargvalues getfield getpwuid ghostwriter giant gireeshpunathil glorious gname golden gonna goodies goods
+goofy gpgsm gprof graciously grandchild graphically gregor greyed gross grossly ground guarding guest gufuncs guid habits hackers hackish halflife
+hardcopy hashability hashbang hassle hate haystack hazards hchar headaches headed headersonly helpfully hermitian herrmann hijack histograms homebrew
+hostile hotspot house howto hsplit hstack htop httponly hypertext ibmi idlharness idna idxmax iexp ifconfig ifftshift iframe ignoreables illustrating
+imagined imitation imminent immunities immutability imperfect inaccuracy inapplicable incomprehensible incorporation incurs indention indications
+inertia infinitum inflected influencing ingress initargs injective insanely insight insofar inspiration instring intensity inter intercepting
+interchangeably interoperable interpretive intersections intuitively invention investigated irure isatty islice isomorphic isotonic issubclass
+italiano iteratee iterparse iters javac javadoc javah jedi jengelh joiner joshgav journey jsdoc jsonp judgement jupyter jython kappa keycode keydown
+keyset keysym keyval kfarnung kicking kilobytes kingdom kludgy knock koala kwonly laboris lame lapack largs lawfully lawsuit laying lean legibly lend
+leverages lexed lexeme lexemes lexername lexicons lflags libcst liberty libjoin libmount libname libnode libwww licences lift ligatures lightly
+lightness limbs lineterminator linkgit listitems lkjsfd localizes locn logarithms lognormal longformer lookaheads lookalike lookuperror lora
+lowercasing lpar lpia lsdjjkf lsdkj lsdkjf lsjdf lskdj lspan lstrip luckily lucky lvalue macdef mace macintosh magnetic mailinfo mainstream maintype
+maliciously mantra manufacture manuscript manylinux marginal markobject marshaling marsonya masculine masquerading matchable maxheaderlen maximized
+maxsplit mcollina mediatype medozas megabyte memxor mergesort meshgrid messagebox metachars metaconfig metamail metavariables metavars mgrid micros
+microtests minim minimatch minority minuend minuscule mirrored misalign misformatted misnamed misreporting mistaking misterdjules mistook
+misunderstood mkcodecache mkppport modelled modernization modf modp mollit monitored monitors moon morphs mortem mountable mountpoint mouseclick
+msgfmt msgids msgs mult multicall multihomed multiplexing multipliers multiplies mydict mypyc mysql namespacing nasm nastiness ncoghlan neat neatly
+needle negating negations neginf negotiable neighbor netfilter netmasks netscape newborn nightmare ninety nodeset noinspection nominations
+noncommercially nonlocals nonspacing nonterminals normalisation norms nose nostrud notebooks notna novice nroff ntpath nulled numerals numerators numf
+numlist oasis objc objdump obstruct occaecat occurences octals octave oder officia oldrev oneletter oneline openbsd operational optical optimising
+optimistic optimistically optimum originals oscrypto ottype outlived outsider overhauled overlook overlooked overread overt overwhelmed owed owing
+packstream painted paints pairings palindrome pane pango parameterise paranoia paranoid pariatur parseaddr partials passages pathways patience pchar
+peculiar peculiarities peeked penalize perlfaq perlman permille permuting perpetuity personality pertains perverse pgrp philosophical phony pickier
+pickletools pidst pipx pixmap pkgconf pkgname placeholding plaintexts plausibly players plugging plusses poison polars polled polls polyfill polyfills
+polyfit polygon ponies popitem populations posixpath possesses possibles postrouting pound powerpc practically prebuild prec precedences precondition
+preconditions preferentially prefinish preflight premodified preopens prevail princejwesley printers prioritise proactive probabilistic prober
+processstderr processstdin procurement producers prof profilers programmable programmatic proident projecting promotable proposes provenance proving
+provoking proximity prunes pseudoheaders psidx psmarshall psutil publishers pulsing punc punct punctuated punt purported puzzle pyrepl pytester qnames
+quadruple quantitative quicksort quietly quits racily randrange rang rargs ratpoison rcpt reacquire reactor readinto realignment reallocates realms
+realname realnum realpos reapplies reapply rearranged reassemble reattachable reattached reception recode recombine recombining recompression
+recomputation reconfiguration recreation recycling redeclarations redeclared reduceat reducers redundancies reexport referencable referent refinement
+reftable refusal regeneration regress regulated reindent reinserted reinstatement reinstates reinvent relativedelta relinking relinquishment relpath
+remained remediation remedies remembering reorders repackaged repartition repertoire replaceable replication repopulate repos reprehenderit
+reprocessing republish requireid requisite rescaled rescinded resorting retire retitle retreat reversible reviewers revising rewinds rewording
+reworked rfile rgba rhysd richer rint rlcompleter rmin robustly rotary rotates routable rpar rpath rsync rudimentary ruler runtest rushing rust
+rwlocks ryan sacrifice saddr safeguard samlp sanely satisfactory saturate saturday saxon scaffolding scaler scavenge scol scrambled screwy sdbm sdlf
+sdlkjf searchengine sebdeckers seemed sells semblance serialised setops setstate shadows shame shellcheck shibboleth shifter shigeki shortcoming
+showwarning shuffling sidebars sidestep sidewinder sigil signaled signtool similarities simplefilter sine singledispatch sitecustomize sizehint
+skipfooter skiplayernorm skipto slang sldd sldjf sldkj sldkjf slim slips slkdjs slotted slowing slowloris smtplib sniff softmax solitary song
+sortedcontainers soup specials spells spewing spies splicing spoken spoof spoofed sport spreading stab stall stars startcol startpos startrow
+starvation staying stemmed stems stomping stopline strace straightened streamlined strictest strikethrough stubbed subdiagram subdivide subiterator
+subkey sublexers submessages submits subobjects subordinate subparser substantively substates subsumed subtracts subunit succinctly summarization sunt
+superior supersets supplements supposedly survived suspicion suzuki swallows swapaxes symbolically symmetrical symmetrize symtable synchronizing
+systematic systemtap tabwidth tailored talked tallied targetpath tars taxes tcsetattr temperature templ tempted tense testdir textarea textually
+thealphanerd thefourtheye thou throttled thwart ticklabels tiger tilded timespec timeval tion tniessen tokendef tokenizes tokensource tokval tons
+toshiya trades tradition traduzione trainer transactional transcoded transcoding transpilation transposes trashcan traversals treaties trips truediv
+trunc trusting tseries tutorials twist typemap udtf uids uints ullamco ulps umlauted unacceptably unacknowledged unallocated unavailability
+unbacktrackable unboxing unbreak uncertainty uncombined underflows underlies underlines underscored unencumbered uneven unfolding unguarded unicon
+unidata uninitialised unitary unlexed unloading unlocks unopened unpicklable unpivot unpublished unrefd unrepresentable unresolvable unskip untie
+untokenized untransferable untypical unworthy unwritable upperword upsample upshot urlchar urldecode urlencode ustack utimes vagaries vanishes
+vanishingly vararg variances varnames vcpkg vectorization velit velocity veniam vexing viper virtualized virtue visualises voluminous voluptate vsplit
+vuln waivable wakes warrant warranted weaken wedge weekofyear wfile wherewithal whichdb whitelisted widens widespread wikis wildmatch wisdom witch
+withheld wmname wondering wonky wordchars worried worrying writability writeframes writeframesraw xalloc xargs xarray xaxis xlabel yarn yeah yerr york
+yourfilter yourformatter yourlexer yourmodule yours yourstyle aahz abiflags abilities abused accents accentuates accessions accidents acct accum
+acknowledging acos acquisitions activatable addtogroup admit admonitions adobe adown adversely advertises aenter aesthetic aexit affiliated agenda
+aheared ahem ajax alas algos algs alism aliti alize alleged allegedly alli alligator allotted alphabets alpn alteration amazing amplify analysing
+analytic analyzes anci andrasq animate animating annotates announcements annoys anonrig apapirovski apostrophes appdata appdirs apples approving
+arbitary arcane archival arcname arcs arcu ares argnames argpartition argrepr arith arithmetics armored arrival asciidoctor asfortranarray asian asin
+astropy astyping asymmetrical asymptotic asymptotically atan ation ational ative atomicity ator attn attrbutes attroperties atts autocommit autofixer
+autoheader autojunk autospec autostrip avahi awaitables backporter backreferences backslashed backtracks baked balls barfing barh battle bdist bearing
+beats beauty beforeunload belief berkman biases bigints bigmemtest biliti bincount binlog binops bitflags bitrot bitstring blacklist blanket blkid
+bloated blocker blockingly blosc blowfish bluebird blur bmuenzenmeyer bogusly bombs bookstore bootstrapper bootstrappers boss bounced bounty
+boxstarter branding breadth breaker brightness brittle browsable buff bugzilla bunches bundler burn busted byob byref bytearrays bytelen bytesize
+bytestream cable cacher cairo calibrated callbackified callbackserver callee callings calltips camelizing cancelable cancellations canned canvheight
+canvwidth capitalizing carbon carets carve cascaded categorization causality cbinfo cctests centralized centroid cereal cfws chacha chair chameleon
+chan changeable changelist chaos charging charter checkboxes checklist checkouts cheetah cherrypick childs chksum chomping chrisdickinson
+chronologically ciphertexts circ citizen classdict cldr clientcertengine clips clockwise cmdqueue coarser codeblock codegen codemod codemods codeowner
+codeowners codings coeffs coercive cogrouped coherence coin coincidental coincides coinciding colorchooser coloured comfort commandstring committers
+committish commutatively compability compactly comparions compete compilable complementary completers composes compressibility compressible
+concentration concetation concludes condensing conducted confounding confoundingly confronted confusable connectionless conserved consisted constrain
+contacts contaminating contentype contextifying continual continuity contractions contradictory converge converged converges convolve cooperate
+coordinated coprime copyfile copytree coreutils cornerstone corpora correspondig corrupts counsel coupled cousin cpus crazily creationflags creds
+crept crud crypt cryptopro ctrl cuffer curated currentframe customers customevent cutoffs cword cyan daemonized dandy datas datastructures datefmt
+datestamp dayofyear dblclick deactivates debiasing debundling decapitalize decaying decharter deciphered declines decorative decoupled deferreds defn
+defun degrades deletechars deliminator denom depart depicting deprecates dequantized descendents descends deselected deserializer designers destructed
+destructively detachable devch devsnek diagflat diam differed differencing diffing digestmod digitalinfinity diminished dirfd dirhtml dirruns
+disabledness disagreements disassembling discriminating dismissed disposed dispositions disregarding disrupting dissimilar dissolution distinctive
+distorted distraction diverge diverse diversity divine djgpp dlcompat dmabupt docker docname docserve dodgy dollars donor dotfiles doubts downright
+downsampling dragged drawback drill dsplit dstack dstream dull dumbdbm duplexify ecdsa edsadr eget elaborations elicit elide embargoed empathy
+emphasized emptiness emssage emulator enci enciphered endowed endswith engagement enhances enriched entitlements entli envs eprice equalities erat
+errcode escalate escapable escapee escapses eschew esoteric estliberitas evaluators eventloop evolves examines excepthook excepts excerpt exchanging
+exclusivity excruciating execv execve exhibits exising existance expandable expando expatreader expend experiencing expertise exploded exploding
+exploratory explorer explosion exsl extensibility extractable extractall extractions extraglobs eyes facundo failfast fatally faucibus favours
+fcssescape feather featuring feign female fence fermentum ferror fetcher feugiat fhdr fhinkel fieldsets fifteen filelist filesizes filing fillcolor
+fillvalue filt findable finditer findutils firedfox firewalls firstch fixable fixpoint fixturedef flatbuffers flavour fleshed fmod foldable foldl
+foldr folk followup fontname fool foolproof forgive forgiveness formalizes fqdn fragmenting freeglut freevars friendlier frombuffer fromfile
+fromfunction fromiter frompyfunc fromstring fset ftplib fuctions fulfil fulfillment fulness funcdef funct functionish funescape fuzzers fwrite gated
+gced gdams generations genrsa gently genuinely getcwd getfullargspec getinfo getlines getmembers getpass getrandbits getsockname getsource geturl
+gitlink gitter glade glitches globbed gnat gnupg gobjc goodbye goodness google grabbed graduating grafts graphemes graphviz gravatar grids groupnames
+grpc guranteed guybedford gymnastics hackiness halfwidth halving handcrafted hardmask hashmarks hasnans hazard hazardous headache headerless healthy
+heappops heappush heaps hearing hexagon hfft highlighters histogramdd hkdf hlist homogenize honestly honouring hooking hookwrapper horror hostmask
+httpclient httpresponse hugepages huggingface hump hwnd hygiene hyperparser hyphenated iadd icate iciti icmp iculslocs identd idling iframes ignorance
+ignorecase iinfo imaplib impending implementor imposes impractical imputed incantation inclusively incompat indefinite indentwidth induction
+inefficiency inefficiently inelegant inelegantly inferencing inflated inflation informal informally informations inlinable inname inout inputted
+insightful insignificant instants instructive instrumented intercalary interception interchanged interests interfered interim interlaced interpretable
+interrogate interrogating interruptible interruptions intersected intervalindex intraday intranet intrigeri intrusive invasive inversed inverses
+invertible invisibly invocant ipaddr ireq irfft irfftn isalpha isarray isdir isub isupper italoacasas itemsets iteratees iveness iviti ization izer
+jacob jammed janky jbergstroem jdalton jgit jhamhader jigsaw jkrems journal joyeecheung jshint juggle julianduque jumping justifications karan kennykb
+keyboards keybox keyfiles keymap keyrings keysets keystore keystroke keystrokes keyup keywrap killall knownfiles kotlin kunalspathak kvakil kwonlyargs
+kwonlydefaults kwset lama landmark largefile lastly latitude launchpadlib lazier lchmod lcov ldconfig learnt leftwards legible legs lengthened lennart
+leveraged lhash libcap libdaemon libedit libregrtest librsvg libstemmer lifting ligula liking limbo lineage lined linenum linewidth linger
+linkification listcomp lkey lnotab localeconv localstorage lockfiles logi longhand longitude longlink longlong longname loopholes loser lossage lousy
+lovely lurve lyrics lzmadec macosx macrology mailfrom maint majors male markupsafe marshaller mary materialising materialization materializes matlab
+matthewloring maturity mauris maven maxlevels mday measurable mechanic meddles mediates meetings meld melting memleak memuse mercy mergetag mesh
+messed mgmt mgol microbatch microbenchmarks midpoints mileage milestones minimise minimises minors miscellany miscomputed miscount misinterprets
+mismerge mismerges misnomer misreport misreported mistype mistypes misunderstanding mitigated mmaped mnemonic mnemonics modem moderate moderated mods
+modularization moduleauthor mojave mollis monday money monotonicity mortal mouseenter mouseleave mouseout mouseover moveaxis movements mpmath msbuild
+multicasting multicolumns multilevel multilingual multiplicative multiplicities multiprocess multiset multivalued multivariate myaddon mydescriptor
+mydf mysterious nameless nanmax nanstd nanvar narrows navigating nbad ndbm ndigits ndims ndindex ndtype nearing necessitating nefarious negates
+negligent neighbour ness nestable netbsd netdev newcache newlocals newrev ngettext ngood nightlies ninth nitpick nlocals nodelay nodelist noderivs
+nomask nomenclature nonconforming nonetheless nonexistence noreturn normalizer north notionally nout nuisance nuke nulps numpydoc objection occasion
+ocsp oddity ogrid oldfile oldfire ommited onread ontype opendir openhook openings openpty optall opterr optimisations optimizers orangemocha oranges
+orci orderedness origword oslevel ostrich ousli ousness outdate outlives outperforms outputfile outweighs overallocation overdue overhaul overlined
+overrunning overshoot oversized packagemanager packdata packer pagers painfully panda paned panes panic parenthesize parenthetical partialmethod
+partners partway pastebin patchset patented pcre pedantic peername pencolor perforce permute permuted pgen philosophy phone phrased pipelining pivoted
+pivoting pkey planner platlibdir pleasant pluck plurality plurals plutil pnum poettering pointerenter pointerleave poisoning polydiv polygons polymul
+porcelain posixrules possess postcommand postrm postscript potty preallocate prebuildify preclude precompile precursors predate predeclare
+predetermined predictor preempt prefilter prefilters prefixlen preopen preparatory prereq preserver pretium prettier prevalent prices principled
+prioritized prize probs processable processenv processexecpath processexitcode procps productivity progname programmed prominence promoter pronounced
+proposals proprietor province pseudos psmisc pstats publically purporting purposeful pushback putative putc putter putters puzpuzpuz pybench pycs
+pyfunc pyjnius pylist pyproject pyshell pytests pythonic qrst qtconsole quam quantum quarterly querable quetzal quickening quiescent quotas quux radd
+radiobutton radiobuttons ranlib rarer rates ratings rbrace rbracket rchecked rclickable rcombinators rcomma rcpttos rcssescape rdescend rdisplayswap
+reacting reaction reallocate realtime reappears reapplying reassigning reassigns reattach rebinds rebrand recalculation receivers recency recfunctions
+recheck reciprocals reconstructs recovers redaction redeclaration redesigned redis redistributions redownload reexposed refactorings refcnt refcounted
+referenceable refill refined refiner reflow refold refrains regenerates regexs rehash reinvoked relabelling reland relatives relaying relbar relic
+relocate remainders remarks remover renderings renegotiations renew reorganization reposition representatives repro reproductions requestsocket
+rescanning resembling resent residue resilience resizemode resolvable respawn respectful responsesocket responsive rests resumable resurrecting
+rethink rethinking rethrowing rethrown retokenization reversions reviewer rewound rfft rfind rfocusable rfxtypes rheader rheaders rhtml ridentifier
+ridiculously rightwards rinfo rinputs riscv rjsonp rnative rnothtmlwhite rnumnonpx roadmap rollovers rougly rouines roundabout rparentsprev rprotocol
+rpseudo rquery rreturn rrtype rrun rshift rsibling rsubmittable rtrim rtypenamespace runaway runescape rval rwhitespace sampler sanitization sapien
+sarge saslfinger saxutils scanners scatological scdaemon scelerisque scene scott scrape screams screwiness scrolls scrub searchpath season sectioned
+seldom selfdot selinux semicircle senses sensor separable seprated setxattr sfun shaky shards sharedlib shear shenanigans shortletter shortlex
+showcases showrefcount showwarnings sieve sigwinch silences silverwind simdjson simulator singh siunitx sixth sizer sjis skipinitialspace slen slept
+sliceable slicer slipping slope slowdowns slurped smartcard smiley smoothness smtpd sniffed sniffer sockaddr socketpair socketserver socktype
+sourceless south spacer spaghetti spanish sparsified spatch spatial speaker speakers specialness specifiable spectacular spider spinning splat splices
+spool spots sprinkled sqlalchemy srcs stabilizing stalls standardise standardization starkwang startline startupinfo station statistically statwatcher
+stayed stdcall stdev stdoff steady steam steel stefan stefanmb steppable sticks stipulate stipulated stomp stopgap stopwatch strchr strcpy strdup
+stresses strl structseq stty student stylized subdtype subelements subforms subframe subfunctions subgenerator subgroup subheading subitems submessage
+subn subnets subnode subordinates subpaths subproject subscripting substitutes succinct suffering suidperl supervised suport surely surfaced surprised
+survival surya suspending swapcase swing sympy synchronisation synchronizes synthesized synthesizing sypnosis sysadmin sysfs syslogd sysvinit tabindex
+tabnanny tabulate tacked tagnames tails tainting tale tango targetlist tautology tctxt teaches tellus templated tentatively tentativeness
+terminalreporter terminations testdata testmod textbox textdecoder tfoot theanarkh thenability thickness thresh thusly ticker ticketing tidier tile
+timecnt timeservers timestep timestring tincidunt tional tipo titlebar titlecased tmux toggler tokenizers tolerates toolbar toolchains toolkits
+toolset topping tops toying traceable tracers tradeoffs trait trans transcribe transitional transitively translatable transliteration transplant
+transported trapping trasfer travels treeview tribute trio tripping trumps truthful tsfn ttis tunneled tunnelled tunniclm turpis turtlegraphics
+turtleshape tween tweener tweeners tweens twelve twitter typechecks typedarray typedefs typeerror typenames typesafe typeshed typevar tzlocal tzstr
+uannecessary uchar umbrella unauthenticated uncatchable uncheck uncollected unconflicted unconsolidated uncover undelegate underspecified
+undeterministic undisplay undoes unevenly unexpand unexported unexpose unfilled unflake unidiff unidirectional unification unimportant uninstalling
+unity universe unixfrom unixy unlinking unlinks unloadable unmarshalled unmarshaller unnecesary unoptimized unpadded unpaired unparse unpickles
+unpiping unprofessional unrecorded unredacted unreferencing unrepresented unsanitized unseen unserializable unsetenv unsets unsized unsort unsplit
+unstacker unstyled unsurprisingly untagged untrack unvalidated unverifiable unverified unwrappable updatable upset upstreamed upto usec usecase
+usefixtures usefully ustar utilise utoff uuidgen vaguely vales valueless vanish varius varkw vazina vcruntime vdeturckheim vectorize vehicula venue
+venvs verifications veto vetted vfork victims vintages violators visualized vkurchatkin vmax vmin volunteering vsemozhetbyt vsnprintf vtable wakeups
+walked wallclock wastage webpage weekend weirder whale whatis whitebox whitlockjc wiggle wildly windowed windres winerror winning winnow winreg wired
+wkhtmltopdf workerterminate workingset workspaces worm wraparound wxneeded xcrun xerr xlabelsize xmllint xmlreader xmltoman xport xrot xxdiff xzdec
+yacc yamlish yaxis yesterday youngest yticks yuck yuza zalloc zeropad zfree zipapp zoned zstandard zstd
+""".split()
