@@ -79,3 +79,18 @@ def test_plain_words_after_credential_words_are_clean(value):
 @pytest.mark.parametrize("value", ["xkqzjvwp", "x9$Kq!72vTzB", "vq7Lm2zRt4", "gfhtkwqzbn"])
 def test_random_values_after_credential_words_are_found(value):
     assert [k for k, _, _ in secrets.spans(f"the login is {value}")] == ["guess"]
+
+
+@pytest.mark.parametrize("before", ["DB_PASSWORD='", 'dbPassword="', "MYSQL_PWD=", "password_hash=", "userpwd: ", '{"smtp-token": "', "authToken = ", "token2=", "db_login_main: ", "clientSecretValue=", "PIN: ", "passwords: "])
+def test_credential_words_within_identifiers(before):
+    text = f"a line; {before}x9$Kq!72vTzB"
+    assert [text[s:e] for k, s, e in secrets.spans(text) if k == "guess"] == ["x9$Kq!72vTzB"]
+
+
+@pytest.mark.parametrize("before", ["the compass is ", "spin: ", "opinion is ", "our secretary is ", "a passing is "])
+def test_words_that_hold_credential_words_are_no_context(before):
+    assert secrets.spans(before + "x9$Kq!72vTzB") == []
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    assert secrets.spans("z" * 300_000 + "password" * 20_000 + "_" * 100_000 + "pin" * 20_000) == []

@@ -29,8 +29,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_DIGITS = frozenset("0123456789abcdef")
+#: Credential words may be parts of identifiers: the long ones with anything around them, the others where a part begins
+#: (after a sign, or a capital after a small letter) and up to where it ends.
 CREDENTIAL = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|login|pin)\b["']?\s{0,4}(?:is\b|[:=])\s{0,4}(\S+)""", re.I | re.A
+    r"""(?:(?:password|passwd|passphrase|passcode|pwd|api[_-]?key|secret|credential)(?:s|[_-][A-Za-z0-9_-]{0,40}|[0-9][A-Za-z0-9_-]{0,40}|(?-i:(?<=[a-z])[A-Z])[A-Za-z0-9_-]{0,40})?"""
+    r"""|(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass|token|login|pin)(?:s|[_-][A-Za-z0-9_-]{0,40}|[0-9][A-Za-z0-9_-]{0,40}|(?-i:(?<=[a-z])[A-Z])[A-Za-z0-9_-]{0,40})?)"""
+    r"""(?![A-Za-z0-9_])["']?\s{0,4}(?:is\b|[:=])\s{0,4}(\S+)""", re.I | re.A
 )
 #: Any text with a span of kind assign or guess has one of these in lower case.
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "api", "credential", "login", "pin")
