@@ -95,3 +95,14 @@ def test_without_labels_or_rows(spark):
     assert langid.fit(docs) is None
     assert [r.lang_pred for r in langid.identify(docs, None).collect()] == ["und"]
     assert langid.identify(docs.limit(0), langid.fit(docs.limit(0))).collect() == []
+
+
+def test_wrong_labels_do_not_lift_the_limits():
+    foreign = "的是了不在有这个上们来到时大地为子中你说生国年着就" * 4
+    en, de = [text(EN, i) for i in range(200)], [text(DE, i) for i in range(200)]
+    en[0], en[5], de[10], de[15] = foreign, text(DE, 900), "الكتاب على الطاولة في البيت القديم " * 6, text(EN, 901)  # held back
+    model = langid.train({"en": en, "de": de})
+    for strange in (foreign, "ζυγός ξένος άνθρωπος και θάλασσα " * 5):
+        assert langid.predict(model, strange)[2]
+    for i in range(300, 400):
+        assert langid.predict(model, text(EN, i))[::2] == ("en", False) and langid.predict(model, text(DE, i))[::2] == ("de", False)

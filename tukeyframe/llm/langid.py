@@ -156,10 +156,13 @@ def train(texts: dict[str, list[str]], order: int = ORDER, discount: float = DIS
     for k, name in enumerate(languages):
         scored = np.array([entropies(model, c) for c in (held[name] or counted[name])])
         own = scored[:, k]
-        # well above all held-back texts: spread by their standard deviation, and short texts scatter more
-        limits.append(own.max() + 4 * own.std() + 0.5)
+        if (wins := scored.argmin(1) == k).any():  # texts that another language wins may be wrongly labelled
+            own = own[wins]
+        # well above most held-back texts: a few junk texts don't move the median or the 90th percentile; short texts scatter more
+        middle, high = np.quantile(own, (0.5, 0.9))
+        limits.append(middle + 10 * (high - middle) + 0.5)
         others = np.delete(scored, k, 1)
-        gaps += list(others.min(1) - own) if others.shape[1] else []
+        gaps += list(others.min(1) - scored[:, k]) if others.shape[1] else []
     model.limits = np.array(limits)
     model.scale = 4.0 / max(1e-3, float(np.median(gaps))) if gaps else 1.0
     return model
