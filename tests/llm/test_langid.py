@@ -106,3 +106,17 @@ def test_wrong_labels_do_not_lift_the_limits():
         assert langid.predict(model, strange)[2]
     for i in range(300, 400):
         assert langid.predict(model, text(EN, i))[::2] == ("en", False) and langid.predict(model, text(DE, i))[::2] == ("de", False)
+
+
+def test_every_label_is_learned(spark):
+    words = [("".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=7)) + " ") * 3 for k in range(langid.LANGUAGES + 20)]
+    rows = [(20 * k + i, w, f"l{k}") for k, w in enumerate(words) for i in range(8 if k else 20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == len(words)
+
+
+def test_long_texts_are_learned_from_by_windows(spark):
+    rows = [(i, text(EN, i, 8000), "en") for i in range(20)] + [(100 + i, text(DE, i), "de") for i in range(20)]
+    assert min(len(t) for _, t, lang in rows if lang == "en") > langid.SAMPLE_CHARS
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs).languages == ["de", "en"]

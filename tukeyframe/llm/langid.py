@@ -23,9 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tukeyframe.llm import scratch
+
 ORDER = 5
 DISCOUNT = 0.75
-#: Expected size of the sample of each language, the largest text in it, and the most languages (the most frequent stay).
+#: Expected size of the sample of each language, the characters taken of a text, and the languages from which on they share
+#: what so many would take.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
 LANGUAGES = 100
@@ -227,17 +230,23 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Learns from a bounded sample of the rows that may be learned from.
 
     A row is taken if the hash of its id is below a limit, set by its language's row count so that about sample_docs rows
-    of at most sample_chars characters are taken for each language. The counts are over all documents; what reaches the
-    driver is at most about LANGUAGES * sample_docs * sample_chars characters.
+    are taken for each language, fewer if there are more than LANGUAGES, but at least one. Of a text with more than
+    sample_chars characters a window of that length is taken, at a place given by the hash of its id. The counts are over
+    all documents; what reaches the driver is about LANGUAGES * sample_docs * sample_chars characters, or a row a language.
     """
-    ids, label = F.col(key).cast("string"), F.col(lang).cast("string")
-    usable = documents.where(label.isNotNull() & F.col(text).isNotNull() & (remainder(F.col(key)) != 0) & (F.length(F.col(text)) <= sample_chars))
-    counts = usable.groupBy(label.alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["n"])))))
+    ids, label, whole = F.col(key).cast("string"), F.col(lang).cast("string"), F.col(text).cast("string")
     place = F.pmod(F.xxhash64(ids), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.where(place < F.coalesce(share[label], F.lit(0.0))).select(ids.alias("id"), label.alias("lang"), F.col(text).cast("string").alias("text"))
+    over = F.greatest(F.length(whole) - sample_chars, F.lit(0))
+    start = F.pmod(F.xxhash64(ids, F.lit("window")), (over + 1).cast("long")).cast("int") + 1
+    usable = documents.where(label.isNotNull() & whole.isNotNull() & (remainder(F.col(key)) != 0)).select(ids.alias("id"), label.alias("lang"), whole.alias("text"), place.alias("place"), start.alias("start"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    counts = scratch.materialise(counts, "languages")
+    languages = counts.count()
+    if not languages:
+        return None
+    docs = sample_docs * min(1.0, LANGUAGES / languages)
+    limits = scratch.small(counts.select("lang", F.greatest(F.lit(docs) / F.col("n"), "least").alias("limit")))
+    sample = usable.join(limits, "lang").where(F.col("place") <= F.col("limit")).select("id", "lang", F.substring("text", F.col("start"), F.lit(sample_chars)).alias("text"))
     texts: dict[str, list[str]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["id"] or "", r["text"])):
         texts.setdefault(row["lang"], []).append(row["text"])
