@@ -72,3 +72,16 @@ def test_clean_treats_words_that_open_sentences_alike(spark):
     items = spark.createDataFrame([(1, "Anna sells 12 red apples daily.")], "item_id long, text string")
     rows = [(1, "Peter sells 40 red apples daily."), (2, "y coas Eaea ndorea Anna sells 12 red apples daily."), (3, "We know that Peter sells 40 red apples daily."), (4, "Peter sells 40 green pears daily.")]
     assert [r.doc_id for r in decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()] == [4]
+
+
+def test_wide_gaps_before_names_against_sql(spark):
+    items = [(1, "we all saw that young Anna went over to the old mill again")]
+    docs = [(1, "we all saw that young" + " \n" * 20 + "Peter went over to the old mill again"), (2, " " * 40 + "Peter went over"), (3, "we all saw that young." + " " * 40 + "Peter went over to the old mill again")]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r) for r in got} == set(by_sql(docs, items)) and (1, 1, 1.0) in {(r.doc_id, r.item_id, r.coverage) for r in got}
+
+
+def test_clean_takes_units_in_any_case(spark):
+    items = spark.createDataFrame([(1, "they walked about 12 km along the quiet road")], "item_id long, text string")
+    rows = [(1, "they walked about 30 KM along the quiet road"), (2, "they walked about 7 Miles along the quiet road"), (3, "they walked about 7 times along the busy road")]
+    assert [r.doc_id for r in decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()] == [3]

@@ -56,17 +56,18 @@ def _cut(words: Column) -> Column:
 
 
 def _slots(words: Column, wide: bool = False) -> Column:
-    """Numbers, amounts (a number with its unit), units after numbers, and names within sentences (wide: and where one opens) replaced.
+    """Numbers, amounts (a number with its unit), units after numbers, and names within sentences (wide: and where one opens, and units in any case) replaced.
 
     The patterns begin with what is rare in a text, and never join or split words.
     """
+    unit = f"(?i:{_UNIT})" if wide else f"(?:{_UNIT})"
     x = F.regexp_replace(words, f"(^|[{_WS}{STOP}])[0-9]+{_END}", f"$1{NUMBER}")
-    x = F.regexp_replace(x, f"(^|[{_WS}{STOP}])[0-9]+(?:{_UNIT}){_END}", f"$1{AMOUNT}")
-    x = F.regexp_replace(x, f"({NUMBER}[{_WS}{STOP}]*[{_WS}])(?:{_UNIT}){_END}", f"$1{UNIT}")
+    x = F.regexp_replace(x, f"(^|[{_WS}{STOP}])[0-9]+{unit}{_END}", f"$1{AMOUNT}")
+    x = F.regexp_replace(x, f"({NUMBER}[{_WS}{STOP}]*[{_WS}]){unit}{_END}", f"$1{UNIT}")
     x = F.when(words.rlike("[0-9]"), x).otherwise(words)
     if wide:
         return F.regexp_replace(x, f"(^|[{_WS}{STOP}])\\p{{Lu}}\\p{{Ll}}[^{_WS}{STOP}]*", f"$1{NAME}")
-    return F.regexp_replace(x, f"([{_WS}]+)(?=\\p{{Lu}}\\p{{Ll}})(?<=[^{_WS}{STOP}][{_WS}]{{1,20}})[^{_WS}{STOP}]+", f"$1{NAME}")
+    return F.regexp_replace(x, f"([{_WS}](?<=[^{_WS}{STOP}][{_WS}])[{_WS}]*)(?=\\p{{Lu}}\\p{{Ll}})[^{_WS}{STOP}]+", f"$1{NAME}")
 
 
 def tokens(df: DataFrame, text: Column, values: bool = True, wide: bool = False) -> DataFrame:
@@ -105,7 +106,7 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
 def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, key: str = "doc_id", text: str = "text", item: str = "item_id", wide: bool = False) -> DataFrame:
     """A row for each contaminated document and the item: doc_id, item_id, n_windows (of the item), n_matched, coverage.
 
-    SQL defines it; wide has no SQL and takes every capitalised word for a name, so that the place in a sentence doesn't matter.
+    SQL defines it; wide has no SQL and takes every capitalised word for a name, so that the place in a sentence doesn't matter, and units in any case.
     """
     own = benchmark_windows(benchmark, item, wide=wide).select("item_id", "size", "h", F.col("at").alias("item_at"), F.col("w").alias("item_w"), "n").distinct()
     theirs = scratch.materialise(own, "benchmark-windows")
