@@ -1,6 +1,12 @@
+import functools
 import gzip
+import pathlib
 import zlib
 
+import pytest
+
+from pyspark.sql import functions as F
+
 from tukeyframe.llm import warc
 
 PAGES = [
@@ -17,9 +23,13 @@ PAGES = [
 SCHEMA = "page_id long, url string, html string"
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_round_trip(spark, monkeypatch, broadcast):
     extra = [(*r, "clash") for r in PAGES]
     pages = spark.createDataFrame(extra, SCHEMA + ", digest string").repartition(3)
+    if not broadcast:
+        monkeypatch.setattr(warc, "SALT_ROWS", 2)
+        monkeypatch.setattr(warc, "verdicts", functools.partial(warc.verdicts, groups=0))
     rows = warc.round_trip(pages).collect()
     assert len(rows) == len(PAGES)
     payloads = [(p, (h or "").encode()) for p, _, h in PAGES]
@@ -49,10 +59,24 @@ def test_normaliser_takes_any_layout(spark, tmp_path):
     paths = spark.createDataFrame([(f"file://{tmp_path}/in/{n}.warc.gz",) for n in ("one", "many")], "path string")
     made = warc.normalise(paths, f"file://{tmp_path}/out").collect()
     assert [r.records for r in made] == [40, 40]
-    for name in ("one", "many"):
-        data, members = (tmp_path / f"out/{name}.warc.gz").read_bytes(), []
+    for r in made:
+        data, members = pathlib.Path(r.path.removeprefix("file://")).read_bytes(), []
         while data:
             member = zlib.decompressobj(31)
             members.append(member.decompress(data))
             data = member.unused_data
         assert members == whole
+
+
+def test_one_page_many_times(spark):
+    copies = spark.range(20_000).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), F.when(F.col("id") % 10 > 0, "<p>same</p>").otherwise(F.col("id").cast("string")).alias("html"))
+    made = warc.verdicts(copies.repartition(8), groups=0)
+    assert max(r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()) < 10_000
+    rows = warc.round_trip(copies.repartition(4)).groupBy("record_type", "refers_to").count().collect()
+    assert {(r.record_type, r.refers_to, r["count"]) for r in rows} == {("response", None, 2001), ("revisit", 19_999, 17_999)}
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    pages = spark.range(100).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.repeat(F.lit("x"), 100).alias("html")).coalesce(1)
+    paths = [r.path for r in warc.write_monolithic(warc.verdicts(pages), f"file://{tmp_path}/cut", archive_bytes=1000).collect()]
+    assert len(paths) == len(set(paths)) == 10
