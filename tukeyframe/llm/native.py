@@ -15,3 +15,11 @@ def hold(df: DataFrame, **columns: Column) -> DataFrame:
     held = df.withColumn("_held", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
     kept = [c for c in df.columns if c not in columns]
     return held.select(*kept, *(F.col("_held").getField(n).alias(n) for n in columns))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or the name after as many underscores as it takes, so that no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
