@@ -14,7 +14,7 @@ from tukeyframe.llm import decontaminate, langid, neardup, packing, scratch, sec
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the models accept. Documents without letters, or unlike all languages, go."""
-    return langid.identify(docs, langid.fit(docs)).where(~F.col("rejected")).select(*docs.columns)
+    return langid.accepted(docs, langid.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
