@@ -16,6 +16,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_secret_scan that SQL can express."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_warc_normaliser": op2_warc_normaliser,
     "op8_language_id": op8_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "secret_base_spans": secret_base_spans,
     "op10_quality_cotraining": op10_quality_cotraining,
 }
 
@@ -116,6 +122,7 @@ SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60
 FROM r JOIN m USING (h)
 """,
     "op5_benchmark_decontamination": decontaminate.SQL,
+    "secret_base_spans": secrets.BASE_SQL,
     "op6_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
