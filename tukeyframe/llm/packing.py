@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +143,7 @@ PIECE = "doc_id long, piece int, start long, stop long, n_tokens int, text strin
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about CUT_BYTES of text, its second column."""
-    ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float)))
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float)))
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CUT_BYTES, "right")))
@@ -151,7 +152,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(keys: pa.Array, texts: pa.Array, rows: pa.Array, largest: int) -> pa.RecordBatch:
-    texts = pa.concat_arrays([pa.compute.fill_null(texts, "").cast(pa.large_string())])
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string())])
     _, offsets, values = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]] if values else np.zeros(0, np.uint8)
@@ -200,7 +201,7 @@ def pack(pieces: DataFrame, groups: int = 1, capacities: tuple[int, ...] = CAPAC
 
     def packed(group: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).drop_columns("group").combine_chunks()
-        order = pa.compute.sort_indices(table, sort_keys=[("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
+        order = pc.sort_indices(table, sort_keys=[("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
         table = table.take(order)
         size = table["n_tokens"].to_numpy()
         some = int((size > 0).sum())
