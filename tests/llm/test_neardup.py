@@ -53,9 +53,12 @@ def corpus(seed, n=60):
     return list(enumerate(texts)) + [(None, "one two"), (3, texts[3]), (3, "one two"), (0, texts[1])]
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 1 << 19), (2, 4096)])
-def test_against_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize(("seed", "block", "many", "own"), [(1, 1 << 19, 8, 256), (2, 4096, 1000, 8), (2, 2048, 1, 8), (4, 512, 1, 2)])
+def test_against_brute_force(spark, monkeypatch, seed, block, many, own):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "MANY", many)
+    monkeypatch.setattr(neardup, "HEADS", 2)
+    monkeypatch.setattr(neardup, "OWN", own)
     monkeypatch.setattr(neardup, "SALT_ROWS", 2)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, node string").repartition(3)
@@ -88,3 +91,35 @@ def test_signature_is_circulant_minhash():
     places = shingles.mix(found, 4) >> np.uint64(64 - shingles.UNIVERSE_BITS)
     size = 1 << shingles.UNIVERSE_BITS
     assert [min(int(order[(int(p) + k) % size]) for p in places) for k in range(5)] == shingles.signature(found)[:5].tolist()
+
+
+def test_many_variants_of_one_text_meet_in_few_rows(spark):
+    rng = random.Random(9)
+    base, rows = words(rng, 100), []
+    for i in range(20_000):
+        copy = list(base)
+        copy[rng.randrange(100)] = f"v{i}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    described = neardup.scratch.materialise(neardup.describe(docs), "described")
+    seen = []
+    compared = neardup._compared
+
+    def counted(meetings, *rest):
+        seen.append(meetings.count())
+        return compared(meetings, *rest)
+
+    neardup._compared = counted
+    try:
+        classes, forest = neardup.links(described, docs)
+        assert neardup.components(forest, classes).select("rep").distinct().count() == 1
+    finally:
+        neardup._compared = compared
+    assert len(seen) == 2 and sum(seen) < 2 * len(rows)
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y"), (2, "a b c d e f", 8, "y"), (3, "else", 9, "z"), (None, "a b c d e f", 0, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key long, repeated string")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted((docs.collect()[i] for i in (0, 3, 4)), key=str)

@@ -9,14 +9,18 @@
    family is. Two blocks that may hold similar sizes meet in one task, which counts all intersections exactly (common
    shingles as a matrix product, the others by postings) and returns a spanning forest of the links: never more rows
    than classes. So every two classes that share a band key are compared on their full sets, and no group is held whole.
-4. Components of the forests by distributed label propagation with pointer jumping; then classes go back to documents.
+4. In a family of more than MANY blocks each block first meets the family's heads only, the HEADS classes of each size whose
+   band keys most others share, which for copies of one text are what most of them link to. What has thereby come together
+   needs no further comparison; then blocks are cut anew, by component, and only blocks that aren't of one component meet.
+   For a family whose copies link to its heads all this is linear in its size; the rest of it meets all others.
+5. Components of the forests by distributed label propagation with pointer jumping; then classes go back to documents.
 
 Two texts of similarity 0.75 share no band key with a probability of 5e-6 (32 bands of 4).
 
 Defined results: a null or wordless text has an empty set, n_shingles 0, is its own component and linked with nothing;
 with fewer than five words the whole sequence is the one shingle; rows with a null id are never linked, their component is
-null and they are kept; rows that repeat an id get a result each; an empty table gives an empty result; columns
-other than the id and the text are not read.
+null and they are kept; rows that repeat an id get a result each; an empty table gives an empty result; ids must be whole
+numbers (others are an error); columns other than the id and the text are not read, and keep_one() leaves all as they are.
 """
 
 from __future__ import annotations
@@ -25,13 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tukeyframe.llm import scratch, shingles
+from tukeyframe.llm.native import fresh
 
 #: Shingles (each class counts as MIN_SIZE at least) in a block, on average.
-BLOCK, MIN_SIZE = 1 << 19, 256
+BLOCK, MIN_SIZE = 1 << 17, 256
+#: Blocks from which a family's blocks meet its heads first, heads of each size, and classes of a component that get blocks of
+#: their own thereafter.
+MANY, HEADS, OWN = 8, 32, 256
 #: Rows of one class from which they are dealt to several tasks.
 SALT_ROWS = 1000
 #: Products of posting lengths from which a shingle is counted by a matrix product.
@@ -149,28 +157,99 @@ def _families(members: DataFrame) -> DataFrame:
     return family.select("family", "node", F.lit(False).alias("visitor")).unionByName(visits)
 
 
-def _meetings(items: DataFrame) -> DataFrame:
-    """Which classes meet in which task: (unit, node, left) from items (family, node, visitor, n)."""
+def _weight() -> Column:
+    return F.greatest(F.lit(MIN_SIZE), F.call_function("shiftleft", F.lit(2), F.col("class")))
+
+
+def _groups(items: DataFrame, by: list[str], name: str) -> DataFrame:
+    """How many classes (c) and blocks there are for each combination of by, which has class."""
+    counted = items.groupBy(*by).agg(F.count(F.lit(1)).alias("c"))
+    return scratch.materialise(counted.withColumn("blocks", F.ceil(F.col("c") * _weight() / BLOCK).cast("int")), name)
+
+
+def _blocks(groups: DataFrame) -> DataFrame:
+    return groups.drop("c").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
+def _unit(*columns: str) -> Column:
+    return F.concat_ws(":", F.hex("family"), F.xxhash64("family", *columns).cast("string"))
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether classes of two kinds of blocks may be alike in size; visitors come to meet members only."""
+    return (F.abs(F.col(f"class{a}") - F.col(f"class{b}")) <= 1) & ~(F.col(f"visitor{a}") & F.col(f"visitor{b}"))
+
+
+def _second(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """The same blocks with a 2 behind the names of all columns but the family."""
+    return blocks.select("family", *(F.col(c).alias(f"{c}2") for c in [*by, "block"]))
+
+
+def _seated(placed: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Who sits in which unit, (unit, node, left), for written pairs of blocks."""
+    keys = ["family", *by, "block"]
+    equal = lambda left, right: [left[c].eqNullSafe(right[c]) for c in keys]
+    first = pairs.select(*keys, "unit")
+    lefts = placed.join(first, equal(placed, first)).select(first["unit"], placed["node"], F.lit(True).alias("left"))
+    same = F.lit(True)
+    for c in [*by, "block"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}2"))
+    second = pairs.where(~same).select("family", *(F.col(f"{c}2").alias(c) for c in [*by, "block"]), "unit")
+    rights = placed.join(second, equal(placed, second)).select(second["unit"], placed["node"], F.lit(False).alias("left"))
+    return lefts.unionByName(rights)
+
+
+def _meetings(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(which classes meet in which task: (unit, node, left, large), the large families) from items (family, node, visitor, n, score)."""
     sized = items.withColumn("class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
-    weight = F.greatest(F.lit(MIN_SIZE), F.call_function("shiftleft", F.lit(2), F.col("class")))
-    counted = sized.groupBy("family", "visitor", "class").agg(F.count(F.lit(1)).alias("c"))
-    groups = scratch.materialise(counted.withColumn("blocks", F.ceil(F.col("c") * weight / BLOCK).cast("int")), "groups")
-    whole = groups.groupBy("family").agg(F.sum("c").alias("c")).where("c > 1").select("family")
-    groups = groups.join(whole, "family", "left_semi")
+    by = ["visitor", "class"]
+    groups = _groups(sized, ["family", *by], "groups")
+    families = scratch.materialise(groups.groupBy("family").agg(F.sum("c").alias("c"), F.sum("blocks").alias("b")).where("c > 1").select("family", (F.col("b") > MANY).alias("large")), "families")
+    groups = groups.join(families, "family")
     block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    placed = sized.join(groups.drop("c"), ["family", "visitor", "class"]).select("family", "visitor", "class", block.alias("block"), "node")
-    one = groups.select("family", "visitor", F.col("class"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    other = groups.select("family", F.col("visitor").alias("visitor2"), F.col("class").alias("class2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block2"))
-    rank = lambda v, c, b: F.struct(F.col(v), F.col(c), F.col(b))
-    near = (F.abs(F.col("class") - F.col("class2")) <= 1) & ~(F.col("visitor") & F.col("visitor2"))  # visitors come to meet members
-    pairs = one.join(other, "family").where(near & (rank("visitor", "class", "block") <= rank("visitor2", "class2", "block2")))
-    unit = F.xxhash64("family", "visitor", "class", "block", "visitor2", "class2", "block2")
-    pairs = scratch.materialise(pairs.withColumn("unit", F.concat_ws(":", F.hex("family"), unit.cast("string"))), "pairs")
-    same = (F.col("visitor") == F.col("visitor2")) & (F.col("class") == F.col("class2")) & (F.col("block") == F.col("block2"))
-    lefts = placed.join(pairs.select("family", "visitor", "class", "block", "unit"), ["family", "visitor", "class", "block"]).select("unit", "node", F.lit(True).alias("left"))
-    second = pairs.where(~same).select("family", F.col("visitor2").alias("visitor"), F.col("class2").alias("class"), F.col("block2").alias("block"), "unit")
-    rights = placed.join(second, ["family", "visitor", "class", "block"]).select("unit", "node", F.lit(False).alias("left"))
-    return lefts.unionByName(rights)
+    placed = sized.join(groups.drop("c"), ["family", *by]).select("family", *by, block.alias("block"), "node", "score", "large")
+    # all blocks of a family that isn't large meet each other
+    one = _blocks(groups.where(~F.col("large")).drop("large"))
+    rank = lambda k: F.struct(*(F.col(f"{c}{k}") for c in [*by, "block"]))
+    pairs = one.join(_second(one, by), "family").where(_near("", "2") & (rank("") <= rank("2")))
+    pairs = scratch.materialise(pairs.withColumn("unit", _unit(*by, "block", *(f"{c}2" for c in by), "block2")), "pairs")
+    few = _seated(placed.where(~F.col("large")).select("family", *by, "block", "node"), pairs, by)
+    # each block of a large family meets the heads
+    many = placed.where("large")
+    units = _blocks(groups.where("large").drop("large")).withColumn("unit", _unit(*by, "block"))
+    order = Window.partitionBy("family", "class").orderBy(F.desc("score"), "node")
+    heads = many.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= HEADS).select("family", F.col("class").alias("class2"), "node")
+    seated = units.join(heads, "family").where(F.abs(F.col("class") - F.col("class2")) <= 1).select("unit", "node", F.lit(False).alias("left"))
+    mine = many.join(units, ["family", *by, "block"]).select("unit", "node", F.lit(True).alias("left"))
+    return few.withColumn("large", F.lit(False)).unionByName(mine.unionByName(seated).withColumn("large", F.lit(True))), families.where("large").select("family")
+
+
+def _rest(items: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(unit, node, left) for what is left to compare in large families, given the components (node, rep) so far."""
+    ours = items.join(large, "family", "left_semi").join(labels, "node", "left")
+    sized = ours.select("family", "node", "visitor", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("class"), "rep")
+    sized = scratch.materialise(sized, "large-items")
+    whole = sized.where(F.col("rep").isNotNull()).groupBy("family", "visitor", "class", "rep").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OWN)
+    whole = scratch.materialise(whole.select("family", "visitor", "class", "rep", F.col("rep").alias("of")), "whole")
+    by = ["visitor", "class", "of"]
+    # members of small components, and what is alone, share blocks: those have no component (of)
+    mixed = scratch.materialise(sized.join(scratch.small(whole), ["family", "visitor", "class", "rep"], "left").select("family", *by, "node"), "mixed")
+    groups = _groups(mixed, ["family", *by], "groups")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    sizes = groups.drop("c")
+    placed = mixed.join(sizes, [mixed[c].eqNullSafe(sizes[c]) for c in ["family", *by]]).select(*(mixed[c] for c in ["family", *by]), block.alias("block"), mixed["node"])
+    everyone = _blocks(groups)
+    loose = everyone.where(F.col("of").isNull())
+    rank = lambda k: F.struct(*(F.col(f"{c}{k}") for c in ("visitor", "class", "block")))
+    pairs = loose.join(_second(everyone, by), "family").where(_near("", "2") & (F.col("of2").isNotNull() | (rank("") <= rank("2"))))
+    # components are first paired as such
+    kinds = groups.where(F.col("of").isNotNull()).select("family", *by, "blocks")
+    other = kinds.select("family", *(F.col(c).alias(f"{c}2") for c in [*by, "blocks"]))
+    apart = kinds.join(other, "family").where(_near("", "2") & (F.col("of") < F.col("of2")))
+    apart = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
+    pairs = pairs.unionByName(apart.drop("blocks", "blocks2"))
+    pairs = scratch.materialise(pairs.withColumn("unit", _unit(*by, "block", *(f"{c}2" for c in by), "block2")), "pairs")
+    return _seated(placed, pairs, by)
 
 
 def links(described: DataFrame, documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -179,25 +258,36 @@ def links(described: DataFrame, documents: DataFrame, key: str = "doc_id", text:
     classes = scratch.materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = full.select("doc_id", "node", "bands").join(classes.select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"])
     keys = reps.select(F.explode("bands").alias("key"), "node")
-    shared = scratch.materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared")
+    shared = scratch.materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
     members = scratch.materialise(keys.join(scratch.small(shared), "key").distinct(), "members")
-    wanted = classes.join(members.select("node").distinct(), "node")
-    items = scratch.materialise(_families(members).join(wanted.select("node", "n"), "node"), "items")
-    meetings = scratch.materialise(_meetings(items), "meetings")
+    wanted = classes.join(members.groupBy("node").agg(F.sum("c").alias("score")), "node")
+    items = scratch.materialise(_families(members.select("key", "node")).join(wanted.select("node", "n", "score"), "node"), "items")
+    meetings, large = _meetings(items)
+    forest = _compared(scratch.materialise(meetings, "meetings"), classes, documents, key, text, percent)
+    if large.isEmpty():
+        return classes, forest.select("a", "b")
+    labels = components(forest.where("large").select("a", "b"), classes)
+    rest = scratch.materialise(_rest(items, large, labels).withColumn("large", F.lit(True)), "meetings")
+    more = _compared(rest, classes, documents, key, text, percent)
+    return classes, forest.select("a", "b").unionByName(more.select("a", "b"))
+
+
+def _compared(meetings: DataFrame, classes: DataFrame, documents: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """The forest (a, b, large) of the links between those who meet, written."""
     payload = _sets(documents, meetings.select("node").distinct().join(classes.select("node", "rep"), "node"), key, text)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, sets, left, found = None, [], [], [], []
+        unit, kind, nodes, sets, left, found = None, False, [], [], [], []
 
         def close() -> None:
-            found.extend(block_forest(nodes, sets, np.array(left, bool), percent))
+            found.extend((a, b, kind) for a, b in block_forest(nodes, sets, np.array(left, bool), percent) if a != b)
             nodes.clear(), sets.clear(), left.clear()
 
         for batch in _slices(batches):
-            for u, node, side, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for u, node, side, large, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if u != unit:
                     close()
-                    unit = u
+                    unit, kind = u, large
                 nodes.append(node)
                 sets.append(np.frombuffer(data, np.uint64))
                 left.append(side)
@@ -207,13 +297,13 @@ def links(described: DataFrame, documents: DataFrame, key: str = "doc_id", text:
         close()
         yield _edges(found)
 
-    rows = meetings.join(payload, "node").select("unit", "node", "left", "set")
-    forest = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "a binary, b binary")
-    return classes, scratch.materialise(forest, "forest")
+    rows = meetings.join(payload, "node").select("unit", "node", "left", "large", "set")
+    forest = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "a binary, b binary, large boolean")
+    return scratch.materialise(forest, "forest")
 
 
-def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+def _edges(found: list[tuple[bytes, bytes, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "large"])
 
 
 def components(edges: DataFrame, order: DataFrame) -> DataFrame:
@@ -260,11 +350,12 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Rows with a null id stay. Only the ids that go, and ids that occur more than once, are joined to the documents.
     """
-    found = scratch.materialise(deduplicate(documents, key, text).select(F.col(key).alias("_key"), "kept"), "verdicts")
-    ids = found.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("kept").alias("all"), F.max("kept").alias("any"), F.count(F.lit(1)).alias("c"))
-    odd = scratch.materialise(ids.where(~F.col("all") | (F.col("c") > 1)).select("_key", (F.col("any") & (F.col("c") > 1)).alias("_repeated")), "odd")
-    single = documents.join(scratch.small(odd), F.col(key) == F.col("_key"), "left_anti")
-    if odd.where("_repeated").isEmpty():
+    name, again = fresh(documents, "key"), fresh(documents, "repeated")
+    found = scratch.materialise(deduplicate(documents, key, text).select(F.col(key).alias(name), "kept"), "verdicts")
+    ids = found.where(F.col(name).isNotNull()).groupBy(name).agg(F.min("kept").alias("all"), F.max("kept").alias("any"), F.count(F.lit(1)).alias("c"))
+    odd = scratch.materialise(ids.where(~F.col("all") | (F.col("c") > 1)).select(name, (F.col("any") & (F.col("c") > 1)).alias(again)), "odd")
+    single = documents.join(scratch.small(odd), F.col(key) == F.col(name), "left_anti")
+    if odd.where(again).isEmpty():
         return single
-    repeated = documents.join(odd.where("_repeated"), F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key, text])
+    repeated = documents.join(odd.where(again), F.col(key) == F.col(name), "left_semi").dropDuplicates([key, text])
     return single.unionByName(repeated)
