@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tukeyframe.llm import sharding
 
@@ -11,7 +12,7 @@ def plain(rows, limit):
     todo, done = [(0, "", rows)], {}
     while todo:
         depth, name, own = todo.pop()
-        if sum(len((t or "").encode()) for _, t in own) <= limit or depth == sharding.BITS:
+        if sum(len((t or "").encode()) for _, t in own) <= limit or len({k for k, _ in own}) == 1:
             done[name] = own
             continue
         for bit in "01":
@@ -42,11 +43,49 @@ def test_overflow_pages(spark):
 
 
 def test_empty_table(spark):
-    assert sharding.assign(spark.createDataFrame([], "doc_id long, text string"), 100).collect() == []
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert sharding.assign(empty, 100).collect() == sharding.round_trip(empty, 100).collect() == []
 
 
-def test_write(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "x" * 50) for i in range(40)], "doc_id long, text string")
-    sharding.write(docs, str(tmp_path / "out"), 200)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 40 and max(r["count"] for r in back.groupBy("shard").count().collect()) <= 4
+def loads(rows):
+    load, single = Counter(), Counter()
+    for r in rows:
+        load[r.shard] += r.bytes
+        single[r.shard] += 1
+    return {k: n for k, n in load.items() if single[k] > 1}
+
+
+def test_round_trip_keeps_rows_and_limits(spark, tmp_path):
+    rows = [(i, "x" * (50 + i % 3), "clash", 1) for i in range(400)] + [(None, None, "s", 2), (None, "é" * 100, "s", 2), (7, "again", "s", 3), (8, "y" * 5000, None, None)]
+    rows += [(9, "z" * 60, "hot", 4)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, depth int").repartition(3)
+    got = sharding.round_trip(docs, 200, path=str(tmp_path / "out")).collect()
+    assert Counter((r.doc_id, r.bytes) for r in got) == Counter((k, len((t or "").encode())) for k, t, *_ in rows)
+    assert max(loads(got).values()) <= 200
+    back = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out"))
+    assert Counter(tuple(r) for r in back.select("doc_id", "text", "shard", "depth").collect()) == Counter(rows)
+    assert sum("=" in p.name for p in (tmp_path / "out").iterdir()) == len({r.shard for r in got})
+
+
+def test_directory_has_an_entry_for_every_prefix(spark):
+    sizes = spark.range(3000).select(sharding.key_hash(F.col("id")).alias("h"), F.lit(10).cast("long").alias("bytes"))
+    ((depth, entries),) = sharding.directory(sizes, 200)
+    rows = entries.collect()
+    assert len({r.slot for r in rows}) == len(rows) > 0.9 * 2**depth and max(r.depth for r in rows) == depth
+    for r in rows:
+        assert r.slot >> (depth - r.depth) == r.prefix and r.bytes <= 200 and not r.deeper
+
+
+def test_deep_splits_need_further_levels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLACK", 0)
+    rows = [(i, "x" * 100) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(k, len(t), name) for name, own in plain(rows, 100).items() for k, t in own}
+    assert {(r.doc_id, r.bytes, r.shard) for r in sharding.assign(docs, 100).collect()} == want
+
+
+def test_long_payloads(spark):
+    rows = [(1, "x" * 3_000_000), (2, "y"), (3, "z")]
+    got = sharding.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), 1000).collect()
+    assert {(r.doc_id, r.bytes) for r in got} == {(1, 3_000_000), (2, 1), (3, 1)}
+    assert not {r.shard for r in got if r.doc_id == 1} & {r.shard for r in got if r.doc_id != 1}

@@ -18,8 +18,8 @@ def hold(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def fresh(df: DataFrame, name: str) -> str:
-    """The name, or the name after as many underscores as it takes, so that no column of df has it in any case."""
+    """The name, followed by as many underscores as it takes, so that no column of df has it in any case."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
-        name = f"_{name}"
+        name += "_"
     return name

@@ -44,7 +44,7 @@ SHARD_BYTES = 1 << 20
 
 
 def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return sharding.round_trip(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +108,16 @@ r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.b FROM
 c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """,
-    # the depth of a row's shard is the least at which the rows that share its prefix fit
+    # the depth of a row's shard is the least at which the rows that share its prefix fit, or are of one hash
     "op4_extendible_hashing": f"""
 WITH r AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 d AS (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 61)),
-s AS (SELECT depth, h >> (60 - depth) AS p, sum(bytes) AS total FROM r, d GROUP BY ALL),
+s AS (SELECT depth, h >> (60 - depth) AS p, sum(bytes) AS total, min(h) = max(h) AS one FROM r, d GROUP BY ALL),
 m AS (SELECT h, min(s.depth) AS depth FROM (SELECT DISTINCT h FROM r) k, s
-      WHERE s.p = k.h >> (60 - s.depth) AND (s.total <= {SHARD_BYTES} OR s.depth = 60) GROUP BY h)
+      WHERE s.p = k.h >> (60 - s.depth) AND (s.total <= {SHARD_BYTES} OR s.one) GROUP BY h)
 SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard
 FROM r JOIN m USING (h)
 """,
