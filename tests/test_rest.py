@@ -146,3 +146,71 @@ def test_timing(spark):
     with pytest.raises(ArithmeticError):
         timing.sweep({"1k": datagen.planted(spark, 1000, levels=100)}, {"none": lambda d: d.selectExpr("false AS is_outlier")}, {"1k": 1})
     assert timing.line([(0, 1), (1, 3)]) == (2, 1) and set(timing.phases({"x": lambda: None})) == {"x"}
+
+
+def test_positions_over_several_files(spark, tmp_path):
+    df = spark.range(5000).select(F.col("id").alias("i"), (F.col("id") * 7919 % 997).alias("v"))
+    for name, n in (("one", 1), ("many", 9)):
+        df.repartitionByRange(n, "i").sortWithinPartitions("i").write.parquet(str(tmp_path / name))
+    scans = [parquet.with_position(parquet.scan(spark, str(tmp_path / n))) for n in ("one", "many")]
+    assert all(x.where("position <> i").isEmpty() and x.count() == 5000 for x in scans)
+    assert parquet.positional_zip(scans[0].select("position", "i"), scans[1].select("position", "v")).count() == 5000
+    windows = [flags.iqr_flags(str(tmp_path / n), "v", sample=100).groupBy("is_outlier").count().collect() for n in ("one", "many")]
+    assert windows[0] == windows[1]
+
+
+def test_row_groups_are_pruned(spark, tmp_path):
+    parquet.write(spark.range(200_000).coalesce(1), str(tmp_path / "groups"), row_group_bytes=1 << 16, dictionary=False)
+    assert len({r.row_group_id for r in parquet.row_groups(spark, str(tmp_path / "groups")).collect()}) > 5
+    found = parquet.scan(spark, str(tmp_path / "groups"), where="id BETWEEN 1000 AND 1010")
+    assert found.count() == 11
+    plan = found._jdf.queryExecution().executedPlan()
+    found._jdf.queryExecution().executedPlan().execute().count()
+    read = [s for s in str(plan).split("\n") if "PushedFilters" in s]
+    assert "GreaterThanOrEqual(id,1000)" in read[0] and "LessThanOrEqual(id,1010)" in read[0]
+    scan = plan.collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < 200_000 / 3
+
+
+def test_parts_are_summed_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mask, "PARTS", 3)
+    rows = [(p, (p * 5) % 7) for p in range(20)]
+    found = {r.part: r.start for r in mask.part_starts(spark.createDataFrame(rows, "part long, rows long")).collect()}
+    assert found == {p: sum(n for q, n in rows if q < p) for p, _ in rows}
+
+
+def test_count_by_zoom_against_every_method(spark):
+    wide = spark.range(3000).select(F.expr("CAST(pow(-1, id % 2) * pow(1.02, id % 2100) AS BIGINT) + id AS v"))
+    odd = [wide, wide.selectExpr("CASE WHEN v % 5 <> 0 THEN v END AS v"), wide.where("v > 1e30"), wide.selectExpr("-abs(v) AS v"), spark.sql("SELECT explode(array(-9223372036854775808, -5, 0, 0, 3, 9223372036854775807)) AS v")]
+    for df in odd:
+        want = flags.count_outliers(df, "v", "cdf").first()
+        assert flags.count_outliers(df, "v").first() == want
+        assert flags.count_from_counts(df, "v").first() == (df.where("v IS NOT NULL").count(), want.n_outliers)
+
+
+def test_codec_files(spark, tmp_path):
+    files = datagen.codecs(spark, str(tmp_path), 20_000, (1000, 10_000))
+    assert len(files) == 8
+    for name, path in files.items():
+        assert flags.count_outliers(path, "v").first()["n_outliers"] == 20
+        kinds = {r.compression for r in parquet.row_groups(spark, path).collect()}
+        assert kinds == {"SNAPPY" if "snappy" in name else "UNCOMPRESSED"}
+    datagen.check_cardinality(spark.range(50).selectExpr("id % 7 AS v"), 7)
+    with pytest.raises(ArithmeticError):
+        datagen.check_cardinality(spark.range(50).selectExpr("id % 7 AS v"), 8)
+
+
+def test_campaign_and_sweeps(spark, tmp_path, file):
+    out = timing.campaign({"good": lambda: spark.range(10).count(), "bad": lambda: 1 / 0, "slow": lambda: spark.range(10**13).selectExpr("sum(id % 7)").collect()}, 3)
+    assert out["good"]["error"] is None and "ZeroDivisionError" in out["bad"]["error"] and out["slow"]["over"]
+    assert timing.progress(spark) == 100.0
+    rows = timing.sweep(timing.in_parts(datagen.planted(spark, 3000, levels=100), (1, 3)), {"zoom": lambda d: flags.iqr_exact(d, "v")}, {"1": 3, "3": 3}, repeats=1)
+    rows += timing.sweep({"file": spark.range(1)}, timing.window_groups(file, "v", (2, 4), group_rows=1000), {"file": 30}, repeats=1)
+    timing.to_csv(rows, str(tmp_path / "sweep.csv"))
+    assert len((tmp_path / "sweep.csv").read_text().splitlines()) == 5
+
+
+def test_views_of_sql_are_released(spark, file):
+    quoted = file.replace("'", "''")
+    rows = sql.sql(spark, f"SELECT count(*) AS n FROM iqr_flags('{quoted}', 'v')")
+    assert sql.release(spark) >= 1 and sql.release(spark) == 0 and rows.first().n == 30_000

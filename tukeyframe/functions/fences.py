@@ -42,6 +42,13 @@ def fences(quartiles: DataFrame, dtype: T.DataType) -> DataFrame:
     return quartiles.withColumns({name: F.expr(f"CASE WHEN q1 IS NOT NULL AND q3 IS NOT NULL THEN CAST({x} AS {kind}) END") for name, x in (("lo", lo), ("hi", hi))})
 
 
+def fence_values(q1: int, q3: int, dtype: T.DataType) -> tuple[int, int]:
+    """The fences (lo, hi) of quartiles that are known."""
+    low, high = UNSIGNED if is_unsigned(dtype) else SIGNED
+    e = (q3 - q1) + (q3 - q1) // 2
+    return max(low, q1 - e), min(high, q3 + e)
+
+
 def outside(value: Column, lo: Column, hi: Column) -> Column:
     """Whether a value is an outlier: strictly outside the fences; null for null."""
     return (value < lo) | (value > hi)

@@ -25,23 +25,33 @@ def flag(df: DataFrame, column: str, found: DataFrame, name: str = "is_outlier")
     return df.withColumn(name, algebra.outside(F.col(column), bounds.getField("lo"), bounds.getField("hi")))
 
 
-def exact_quartiles(df: DataFrame, column: str, method: str = "cdf") -> DataFrame:
+def exact_quartiles(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
     if method not in quartiles.METHODS:
         raise ValueError(f"unknown method {method!r}; there are {', '.join(quartiles.METHODS)}")
     algebra.value_type(df, column)
     return quartiles.METHODS[method](df, column)
 
 
-def iqr_flags(source: DataFrame | str, column: str, *, key: str | None = None, index: Column | None = None, window: histogram.BinWindow | None = None, bins: int = histogram.BINS, rule: str = "iqr", sample: int = histogram.SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
+def iqr_flags(source: DataFrame | str, column: str, *, key: str | None = None, index: Column | None = None, window: histogram.BinWindow | None = None, bins: int = histogram.BINS, rule: str = "iqr", sample: int = histogram.SAMPLE, groups: int = 0, group_rows: int = 122_880, group_sample: int = 2048, stride: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep, column, is_outlier) with histogram quartiles; a window that isn't given is derived from a sample.
 
-    A path is sampled in the order of its rows, a DataFrame in the order of key or by a dense index column.
+    A path is sampled in the order of its files' names and their rows, a DataFrame in the order of key or by a dense index
+    column. groups: sample so many uniformly spaced groups of group_rows rows instead, of each the first ``group_sample`` rows or
+    (stride) about as many at equal steps.
     """
     df = load(source)
     algebra.value_type(df, column)
     if window is None:
-        sampled = df if isinstance(source, DataFrame) else parquet.with_row_index(df)
-        window = histogram.auto_window(sampled, column, key, index if isinstance(source, DataFrame) else F.col("row_index"), bins, rule, sample)
+        if not isinstance(source, DataFrame):
+            index = F.col("position")
+        sampled = df if isinstance(source, DataFrame) else parquet.with_position(df, column)
+        if groups:
+            if index is None:
+                raise ValueError("a path or an index must order rows of which groups are sampled")
+            found = histogram.grouped_sample(sampled, column, index, group_rows, groups, group_sample, stride)
+            window = histogram.window_from_sample(found, bins, rule)
+        else:
+            window = histogram.auto_window(sampled, column, key, index, bins, rule, sample)
     return flag(df, column, histogram.quartiles(df, column, window)).select(*keep, column, "is_outlier")
 
 
@@ -68,14 +78,35 @@ def iqr_exact(source: DataFrame | str, column: str, method: str = "auto", keep:
     return flag(df, column, exact_quartiles(df, column, method)).select(*keep, column, "is_outlier")
 
 
-def count_outliers(source: DataFrame | str, column: str, method: str = "cdf") -> DataFrame:
-    """(n, n_outliers): rows and outliers."""
+def count_outliers(source: DataFrame | str, column: str, method: str = "auto") -> DataFrame:
+    """(n, n_outliers): rows and outliers, by exact quartiles of any method (auto: see count_by_zoom)."""
     df = load(source)
+    if method in ("auto", "zoom"):
+        return count_by_zoom(df, column)
     return flag(df, column, exact_quartiles(df, column, method)).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_outlier").alias("n_outliers"))
 
 
+def count_by_zoom(df: DataFrame, column: str) -> DataFrame:
+    """The same two numbers from the histogram that finds the quartiles: its bins are inside or outside the fences but for
+    at most two, and only these bins' rows, if there are any, are counted one by one."""
+    dtype = algebra.value_type(df, column)
+    found, nulls = quartiles.ratio_histogram(df, column)
+    total, out = sum(c for *_, c in found), 0
+    if total:
+        q1, q3 = quartiles.narrow(df, column, [quartiles.pick(found, r) for r in quartiles.quartile_ranks(total)])
+        lo, hi = algebra.fence_values(q1, q3, dtype)
+        out = sum(c for low, high, c in found if high < lo or low > hi)
+        mixed = [(low, high) for low, high, _ in found if low < lo <= high or low <= hi < high]
+        v = F.col(column)
+        near = [v.between(histogram.whole(low), histogram.whole(high)) for low, high in mixed]
+        if near:
+            rows = df.where(near[0] if len(near) == 1 else near[0] | near[1])
+            out += rows.agg(F.count_if(algebra.outside(v, histogram.whole(lo), histogram.whole(hi))).alias("x")).first()["x"]
+    return df.sparkSession.range(1).select(F.lit(total + nulls).cast("long").alias("n"), F.lit(out).cast("long").alias("n_outliers"))
+
+
 def count_from_counts(source: DataFrame | str, column: str) -> DataFrame:
-    """The same two numbers from the value counts alone: the rows aren't read again."""
+    """The same from the value counts alone, rows being read once and grouped by value; n counts rows with a value."""
     df = load(source)
     dtype = algebra.value_type(df, column)
     counted = quartiles.counts(df, column)

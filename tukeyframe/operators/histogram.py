@@ -29,19 +29,17 @@ def _sorted_parts(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(df with its dense index i, the persisted table behind it)."""
     placed = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
     placed = placed.persist(StorageLevel.DISK_ONLY)
-    sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
-    offset, steps = 0, []
-    for part in sorted(sizes):
-        steps += [F.lit(part), F.lit(offset - (part << 33))]
-        offset += sizes[part]
-    i = F.col("_at") + F.create_map(*steps)[F.col("_part")] if steps else F.col("_at")
-    return placed.withColumn("i", i).drop("_part", "_at"), placed
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), F.min("_at").alias("first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = sizes.select("_part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn("i", F.col("_at") + F.col("_start")).drop("_part", "_at", "_start"), placed
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
     """df with the column i: each row's rank (from 0) by a unique key, without a window over all rows.
 
-    Rows are sorted by ranges of the key and kept on disk; the partitions' row counts, one number each, give the offsets.
+    Rows are sorted by ranges of the key and kept on the executors' disks until the session ends (or clearCache()); the partitions'
+    row counts, a table of one number each, give the offsets.
     """
     return _sorted_parts(df, key)[0]
 
@@ -155,3 +153,13 @@ def check_total(df: DataFrame, column: str, window: BinWindow) -> int:
     if counted != rows:
         raise ArithmeticError(f"the histogram counted {counted} of {rows} rows")
     return counted
+
+
+def diagnostics(df: DataFrame, column: str, window: BinWindow) -> DataFrame:
+    """(accepted, committed, clamped, bins_used, total): rows with a value, rows that the histogram counted, of these the ones
+    outside the window, the bins that occur, and all rows."""
+    v = F.col(column)
+    end = window.minimum + (window.bins << window.shift) - 1
+    facts = df.agg(F.count(column).alias("accepted"), F.count_if((v < whole(window.minimum)) | (v > whole(end))).alias("clamped"), F.count(F.lit(1)).alias("total"))
+    used = bins(df, column, window).agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("b")).alias("f")).scalar()
+    return facts.select("accepted", used.getField("n").alias("committed"), "clamped", used.getField("b").alias("bins_used"), "total")

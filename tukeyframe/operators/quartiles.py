@@ -4,20 +4,20 @@ All functions take a DataFrame and a column, skip nulls, and give one row (q1, q
 
 * ``cdf`` counts each value and sums the counts in value order: one plan, no action. Its window runs over the distinct
   values in one task, so it is for columns of modest cardinality.
-* ``zoom`` narrows down on both ranks by histograms of at most ``BINS`` bins: one small job a level, a map-side
-  aggregate each, nothing sorted and nothing that grows with the number of distinct values. It is the way for large columns.
-* ``choose`` takes zoom if an approximate distinct count is above ``DISTINCT``, else cdf.
+* ``zoom`` narrows down on both ranks by histograms: one small job a level with a map-side aggregate, nothing sorted and
+  nothing that grows with the number of distinct values. The first level has bins of equal ratio, so it needs no range
+  beforehand, and the second one mostly ends it. It is the way for large columns, and the default (``auto``).
 * ``listed``, ``ordered_set``, ``by_row_number`` and ``approximate`` are the other formulations, for comparison.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BINS = 65_536
-DISTINCT = 1_000_000
+#: Bins of a level after the first, and bins a doubling of the first.
+BINS, OCTAVE = 8192, 512
 #: Integers up to this are exact as doubles.
 EXACT_DOUBLE = 2**53
 
@@ -44,65 +44,84 @@ def _as_row(df: DataFrame, q1: int | None, q3: int | None, dtype: T.DataType) ->
     return spark.range(1).select(text(q1).alias("q1"), text(q3).alias("q3"))
 
 
+def _ratio_bin(value: Column) -> Column:
+    """A number that never falls as value grows: OCTAVE steps for each doubling, on either side of 0."""
+    v = value.cast("double")
+    step = F.floor(F.log2(F.abs(v) + 1.0) * OCTAVE).cast("long")
+    return F.when(v < 0, -step).otherwise(step)
+
+
+def ratio_histogram(df: DataFrame, column: str, weight: str | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """((least value, greatest value, rows) of each bin that occurs, in order; rows without a value). 64-bit values have
+    some 65,000 bins at most."""
+    add = F.sum(weight) if weight else F.count(F.lit(1))
+    v = F.col(column)
+    rows = df.groupBy(_ratio_bin(v).alias("bin")).agg(F.min(v).alias("low"), F.max(v).alias("high"), add.alias("c")).collect()
+    return sorted((int(r["low"]), int(r["high"]), r["c"]) for r in rows if r["low"] is not None), sum(r["c"] for r in rows if r["low"] is None)
+
+
+def pick(found: list[tuple[int, int, int]], rank: int) -> tuple[int, int, int]:
+    """The range that holds a rank, and the rank within it."""
+    for low, high, c in found:
+        if rank <= c:
+            return low, high, rank
+        rank -= c
+    raise ValueError("the rank is beyond the rows")
+
+
 def select_ranks(df: DataFrame, column: str, ranks: list[int], bounds: tuple[int, int], weight: str | None = None) -> list[int]:
-    """The values of the given 1-based ranks, by histograms over ever narrower ranges.
+    """The values of the given 1-based ranks of a column whose values are within bounds."""
+    return narrow(df, column, [(*bounds, r) for r in ranks], weight)
+
 
-    Every level is one job for all ranks: rows within a rank's range go to at most BINS bins of a power of two. Differences
-    to the range's start are taken in 128 bits where 64 don't hold them. weight: a column of row counts, 1 if None.
+def narrow(df: DataFrame, column: str, ranges: list[tuple[int, int, int]], weight: str | None = None) -> list[int]:
+    """The values of 1-based ranks within ranges (low, high, rank), which are equal or apart.
+
+    A level is one job and one pass for all ranges: rows within a range go to at most BINS bins of a power of two, whose
+    least and greatest values are the next ranges. weight: a column of row counts, 1 if None.
     """
-    low, high = bounds
-    state = [{"base": low, "span": high - low, "rank": r} for r in ranks]
     add = F.sum(weight) if weight else F.count(F.lit(1))
-    while any(s["span"] for s in state):
-        ranges = []
-        for s in state:
-            s["shift"] = max(0, s["span"].bit_length() - (BINS.bit_length() - 1))
-            if s["span"] and (s["base"], s["span"]) not in [(r["base"], r["span"]) for r in ranges]:
-                ranges.append(s)
-        parts = []
-        for r in ranges:
-            within = df.where(F.col(column).between(F.lit(str(r["base"])).cast("decimal(38,0)"), F.lit(str(r["base"] + r["span"])).cast("decimal(38,0)")) if r["base"] + r["span"] >= 2**63 else F.col(column).between(r["base"], r["base"] + r["span"]))
-            if r["span"] < 2**62 and -(2**63) <= r["base"] and r["base"] + r["span"] < 2**63:
-                bin_no = F.call_function("shiftright", F.col(column).cast("long") - F.lit(r["base"]), F.lit(r["shift"]))
+    v = F.col(column)
+    state = list(ranges)
+    while open_ranges := sorted({(low, high) for low, high, _ in state if low < high}):
+        part, inside = None, None
+        for low, high in open_ranges:  # one for each rank at most; they are equal or apart
+            shift = max(0, (high - low).bit_length() - (BINS.bit_length() - 1))
+            if -(2**63) <= low and high < 2**63:
+                start, here = F.lit(low), v.between(low, high)
             else:
-                offset = (F.col(column).cast("decimal(38,0)") - F.lit(str(r["base"])).cast("decimal(38,0)")).cast("decimal(38,0)")
-                bin_no = F.floor((offset - F.pmod(offset, F.lit(str(1 << r["shift"])).cast("decimal(38,0)"))).cast("decimal(38,0)") / F.lit(float(1 << r["shift"]))).cast("long")
-            parts.append(within.select(F.lit(len(parts)).alias("part"), bin_no.alias("bin"), *([F.col(weight)] if weight else [])))
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        found: dict[int, list[tuple[int, int]]] = {}
-        for part, b, c in rows.groupBy("part", "bin").agg(add.alias("c")).collect():  # at most BINS rows a part
-            found.setdefault(part, []).append((b, c))
-        key = {(r["base"], r["span"]): sorted(found.get(k, [])) for k, r in enumerate(ranges)}
-        for s in state:
-            if not s["span"]:
-                continue
-            for b, c in key[s["base"], s["span"]]:
-                if s["rank"] <= c:
-                    start = s["base"] + (b << s["shift"])
-                    end = min(start + (1 << s["shift"]) - 1, s["base"] + s["span"])
-                    s["base"], s["span"] = start, end - start
-                    break
-                s["rank"] -= c
-    return [s["base"] for s in state]
-
-
-def zoom(df: DataFrame, column: str) -> DataFrame:
-    dtype = df.schema[column].dataType if column in df.columns else df.select(column).schema[0].dataType
-    total = df.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).first()
-    if not total["n"]:
+                start = F.lit(str(low)).cast("decimal(38,0)")
+                here = v.between(start, F.lit(str(high)).cast("decimal(38,0)"))
+            if high - low < 2**63 and -(2**63) <= low and high < 2**63:
+                number = F.call_function("shiftright", v.cast("long") - start, F.lit(shift))
+            else:
+                offset = (v.cast("decimal(38,0)") - F.lit(str(low)).cast("decimal(38,0)")).cast("decimal(38,0)")
+                number = F.call_function("div", offset, F.lit(str(1 << shift)).cast("decimal(38,0)"))
+            place = F.struct(F.lit(open_ranges.index((low, high))).alias("part"), number.cast("long").alias("bin"))
+            part = F.when(here, place) if part is None else part.when(here, place)
+            inside = here if inside is None else inside | here
+        rows = df.where(inside).groupBy(part.alias("p")).agg(F.min(v).alias("low"), F.max(v).alias("high"), add.alias("c")).collect()
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for r in rows:  # at most BINS a range
+            found.setdefault(r["p"]["part"], []).append((int(r["low"]), int(r["high"]), r["c"]))
+        state = [(low, high, rank) if low == high else pick(sorted(found[open_ranges.index((low, high))]), rank) for low, high, rank in state]
+    return [low for low, _, _ in state]
+
+
+def quartile_ranks(total: int) -> list[int]:
+    return [-(-total // 4), -(-3 * total // 4)]
+
+
+def zoom(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
+    dtype = df.select(column).schema[0].dataType
+    found, _ = ratio_histogram(df, column, weight)
+    total = sum(c for *_, c in found)
+    if not total:
         return _as_row(df, None, None, dtype)
-    n = total["n"]
-    q1, q3 = select_ranks(df.where(F.col(column).isNotNull()).select(column), column, [-(-n // 4), -(-3 * n // 4)], (int(total["low"]), int(total["high"])))
+    q1, q3 = narrow(df, column, [pick(found, r) for r in quartile_ranks(total)], weight)
     return _as_row(df, q1, q3, dtype)
 
 
-def choose(df: DataFrame, column: str, distinct: int = DISTINCT) -> DataFrame:
-    found = df.agg(F.approx_count_distinct(column).alias("d")).first()["d"]
-    return (zoom if found > distinct else cdf)(df, column)
-
-
 def listed(df: DataFrame, column: str) -> DataFrame:
     """Both quantiles from one aggregate, as an array that is then taken apart."""
     kind = df.select(column).schema[0].dataType
@@ -144,4 +163,4 @@ def interpolated(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"))
 
 
-METHODS = {"cdf": cdf, "zoom": zoom, "auto": choose, "list": listed, "ordered_set": ordered_set, "row_number": by_row_number, "approximate": approximate}
+METHODS = {"cdf": cdf, "zoom": zoom, "auto": zoom, "list": listed, "ordered_set": ordered_set, "row_number": by_row_number, "approximate": approximate}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tukeyframe.functions import fences as algebra
 from tukeyframe.operators import histogram, quartiles
+from tukeyframe.sources import parquet
 
 
 def agreement(left: DataFrame, right: DataFrame, key: str, flag: str = "is_outlier") -> DataFrame:
@@ -38,7 +41,7 @@ def effective_fences(flagged: DataFrame, column: str, flag: str = "is_outlier")
     return flagged.agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("n_out"), F.min(inside).alias("lo_eff"), F.max(inside).alias("hi_eff"))
 
 
-def quartile_crosscheck(df: DataFrame, column: str, methods: tuple[str, ...] = ("cdf", "list", "ordered_set", "row_number")) -> DataFrame:
+def quartile_crosscheck(df: DataFrame, column: str, methods: tuple[str, ...] = ("cdf", "zoom", "list", "ordered_set", "row_number")) -> DataFrame:
     """(method, q1, q3, matches_first), a row a method."""
     rows = None
     for name in methods:
@@ -81,9 +84,39 @@ def exact_against_histogram(df: DataFrame, column: str, window: histogram.BinWin
 
 
 def digest(df: DataFrame, column: str) -> DataFrame:
-    """(n, total, hash_sum): equal for equal multisets of values, whatever their order."""
+    """(n, total, hash_sum): equal for equal multisets of values, whatever their order. The hash is of the value as text."""
     v = F.col(column)
-    return df.agg(F.count(column).alias("n"), F.sum(v.cast("decimal(38,0)")).alias("total"), F.sum(F.when(v.isNotNull(), F.xxhash64(v)).cast("decimal(38,0)")).alias("hash_sum"))
+    hashed = F.conv(F.substring(F.md5(v.cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(column).alias("n"), F.sum(v.cast("decimal(38,0)")).alias("total"), F.sum(hashed).alias("hash_sum"))
+
+
+def rank_error(df: DataFrame, column: str, found: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """(n, q1_within, q3_within): whether approximate quartiles (q1, q3) are within the ranks that their accuracy allows."""
+    q = found.select(F.struct("q1", "q3").alias("f")).scalar()
+    v, n = F.col(column), F.count(column)
+    facts = df.agg(n.alias("n"), *(f(c).alias(f"{k}_{name}") for k in ("q1", "q3") for name, f, c in (("below", F.count_if, v < q.getField(k)), ("upto", F.count_if, v <= q.getField(k)))))
+    slack = F.ceil(F.col("n") / accuracy) + 1
+    within = lambda k, share: ((F.col(f"{k}_below") <= share * F.col("n") + slack) & (F.col(f"{k}_upto") >= share * F.col("n") - slack)).alias(f"{k}_within")
+    return facts.select("n", within("q1", 0.25), within("q3", 0.75))
+
+
+def skew_measure(df: DataFrame, column: str, planted: int) -> DataFrame:
+    """How skewed a generated column is: skewness, kurtosis and mean-to-median ratio of the rows below the planted values, the
+    exact upper fence, and the outliers that are natural (not planted); planted values are from there on."""
+    dtype = algebra.value_type(df, column)
+    f = algebra.fences(quartiles.zoom(df, column), dtype).select(F.struct("lo", "hi").alias("f")).scalar()
+    v, own = F.col(column), F.col(column) < planted
+    only = F.when(own, F.col(column))
+    median = F.median(only)
+    found = df.agg(
+        F.count(column).alias("n"),
+        F.round(F.skewness(only), 9).alias("skew"),
+        F.round(F.kurtosis(only), 9).alias("kurt"),
+        F.round(F.avg(only) / F.nullif(median, F.lit(0.0)), 9).alias("mean_to_median"),
+        F.count_if(algebra.outside(v, f.getField("lo"), f.getField("hi"))).alias("n_outliers"),
+        F.count_if(own & algebra.outside(v, f.getField("lo"), f.getField("hi"))).alias("n_natural"),
+    )
+    return found.withColumn("hi", f.getField("hi"))
 
 
 def shape(df: DataFrame, column: str) -> DataFrame:
@@ -110,3 +143,12 @@ def textbook_histogram(df: DataFrame, column: str, bins: int = 256) -> DataFrame
     q1, q3 = q.getField("q1"), q.getField("q3")
     out = algebra.outside(F.col(column), q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return df.agg(F.count_if(out).alias("n_outliers")).select(q1.alias("q1"), q3.alias("q3"), "n_outliers")
+
+
+def as_table(flagged: DataFrame, flag: str = "is_outlier") -> tuple[int, int]:
+    """Creates a table of the whole mask, counts its rows and outliers, and drops it."""
+    spark, name = flagged.sparkSession, f"mask_{uuid.uuid4().hex}"
+    parquet.create_table(flagged, name)
+    found = spark.table(name).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("o")).first()
+    spark.sql(f"DROP TABLE {name}")
+    return found["n"], found["o"]

@@ -37,11 +37,12 @@ def exact_count(rows: str) -> str:
     return quart(rows) + "SELECT count(*) AS n, count(*) FILTER (WHERE v < lo OR v > hi) AS n_outliers FROM s, f"
 
 
-def hist(rows: str, bins: int, rule: str = "iqr", window: tuple[int, int] | None = None) -> str:
-    """CTEs up to hf (sh, bmin, q1, q3, lo, hi) of a histogram run; window: (bin_min, shift) instead of a derived one."""
+def hist(rows: str, bins: int, rule: str = "iqr", window: tuple[int, int] | None = None, sampled: str = "i % step = 0") -> str:
+    """CTEs up to hf (sh, bmin, q1, q3, lo, hi) of a histogram run; window: (bin_min, shift) instead of a derived one; sampled:
+    which row numbers i (of n.n rows) the window is derived from."""
     derived = f"""n AS (SELECT count(*) AS n, greatest(1, count(*) // 8192) AS step FROM s),
 o AS (SELECT v, row_number() OVER (ORDER BY k) - 1 AS i FROM s),
-smp AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM o, n WHERE i % step = 0),
+smp AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM o, n WHERE {sampled}),
 m AS (SELECT count(*) AS m FROM smp),
 p AS (SELECT max(CASE WHEN r = m // 4 THEN v END) AS q1, max(CASE WHEN r = least(m - 1, m * 3 // 4) THEN v END) AS q3,
   max(CASE WHEN r = m // 100 THEN v END) AS p1, max(CASE WHEN r = least(m - 1, m * 99 // 100) THEN v END) AS p99 FROM smp, m),
@@ -82,6 +83,15 @@ def generated(rows: int, value: str) -> str:
     return exact_count(f"SELECT i AS k, CAST({value} AS BIGINT) AS v FROM (SELECT range AS i FROM range({rows}))")
 
 
+#: Row numbers in one of 16 uniformly spaced groups of 20 rows: the groups' numbers are k * (groups - 1) div 15.
+SPANNING = "(i // 20) IN (SELECT CAST(x * (ceil(n.n / 20) - 1) AS BIGINT) // greatest(1, CAST(least(16, ceil(n.n / 20)) AS BIGINT) - 1) FROM range(0, 16) r(x), n WHERE x < ceil(n.n / 20))"
+LENGTHS = "SELECT row_number() OVER () - 1 AS k, n_chars AS v FROM documents"
+
+
+def spanning(chosen: str) -> str:
+    return hist(LENGTHS, 4096, sampled=f"{SPANNING} AND {chosen}") + "SELECT v AS n_chars, (v < lo OR v > hi) AS is_outlier FROM s, hf"
+
+
 SQL: dict[str, str] = {}
 for _name in ("events", "documents", "orders", "customer", "part"):
     SQL[f"iqr_flags_{_name}"] = hist(src(_name), 4096) + "SELECT k, v, (v < lo OR v > hi) AS is_outlier FROM s, hf"
@@ -100,7 +110,18 @@ for _method in ("cdf", "zoom", "list", "ordered_set", "row_number", "auto"):
     SQL[f"mask_{_method}"] = exact_rows(EVENTS)
 SQL |= {
     "quartiles_interpolated": f"SELECT quantile_cont(CAST(v AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(v AS DOUBLE), 0.75) AS q3 FROM ({EVENTS})",
-    "quartile_crosscheck": f"SELECT m AS method, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3, true AS matches_first FROM ({EVENTS}), (VALUES ('cdf'), ('list'), ('ordered_set'), ('row_number')) t(m) GROUP BY m",
+    "quartile_crosscheck": f"SELECT m AS method, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3, true AS matches_first FROM ({EVENTS}), (VALUES ('cdf'), ('zoom'), ('list'), ('ordered_set'), ('row_number')) t(m) GROUP BY m",
+    "quartiles_approx": f"SELECT count(v) AS n, true AS q1_within, true AS q3_within FROM ({EVENTS})",
+    "count_list_events": exact_count(EVENTS),
+    "mask_approximate": f"SELECT count(*) AS n, true AS within FROM ({EVENTS})",
+    "run_diagnostics": f"WITH s AS (SELECT CASE WHEN k % 3 <> 0 THEN v END AS v FROM ({EVENTS})) SELECT count(v) AS accepted, count(v) AS committed, count(*) FILTER (WHERE v < 0 OR v >= 16384) AS clamped, count(DISTINCT CASE WHEN v IS NOT NULL THEN least(1023, greatest(0, v >> 4)) END) AS bins_used, count(*) AS total FROM s",
+    "iqr_flags_spanning_first": spanning("i % 20 < 5"),
+    "iqr_flags_spanning_strided": spanning("((i // 20 < ceil(n.n / 20) - 1 AND i % 4 = 0) OR (i // 20 = ceil(n.n / 20) - 1 AND (i % 20) % greatest(1, (n.n - 20 * (CAST(ceil(n.n / 20) AS BIGINT) - 1)) // 5) = 0 AND i % 20 < 5 * greatest(1, (n.n - 20 * (CAST(ceil(n.n / 20) AS BIGINT) - 1)) // 5)))"),
+    "ctas_three_way": hist(EVENTS, 1024, **{"window": (0, 4)}) + f", e AS ({quart(EVENTS)} SELECT lo, hi FROM f) SELECT 'histogram' AS arm, count(*) AS n, count(*) FILTER (WHERE v < lo OR v > hi) AS n_outliers FROM s, hf UNION ALL SELECT m, count(*), count(*) FILTER (WHERE v < lo OR v > hi) FROM s, e, (VALUES ('zoom'), ('groupby')) t(m) GROUP BY m",
+    "scan_pruned": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 1000 AND 1200",
+    "compose_select_distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
+    "approx_distinct": f"SELECT count(DISTINCT v) AS n_distinct, true AS within FROM ({src('extprice')})",
+    "multiset_hash": f"SELECT count(v) AS n, CAST(sum(v) AS VARCHAR) AS total, CAST(CAST(sum(CAST('0x' || substr(md5(CAST(v AS VARCHAR)), 1, 15) AS BIGINT)) AS HUGEINT) AS VARCHAR) AS hash_sum FROM ({EVENTS})",
     "fences_floor_vs_true": quart(EVENTS) + "SELECT q1, q3, lo AS lo_floor, hi AS hi_floor, (SELECT count(*) FROM s WHERE v < lo OR v > hi) AS n_floor, (SELECT count(*) FROM s WHERE v < q1 - 1.5::DOUBLE * (q3 - q1) OR v > q3 + 1.5::DOUBLE * (q3 - q1)) AS n_true FROM q, f",
     "hist_window_p1p99": hist_row(EVENTS, 1024, rule="p1p99"),
     "hist_window_explicit": hist_row(EVENTS, 1024, **WINDOW),
@@ -151,6 +172,11 @@ SELECT n, round(m3 / pow(m2, 1.5), 9) AS skew, round(m4 / (m2 * m2) - 3, 9) AS k
     "gen_drift": generated(200_000, "i // 2000 + (i * 2654435761) % 1000 + CASE WHEN i % 1000 = 0 THEN 5000000 ELSE 0 END"),
     "gen_cardinality": generated(100_000, "(((i * 2654435761) % 1000) * 2654435761) % 10000000 + CASE WHEN i % 1000 = 0 THEN 50000000 ELSE 0 END"),
     "gen_cycle": "SELECT range AS i, range % 10 AS v, false AS is_outlier FROM range(8192)",
+    "gen_skew_measure": quart("SELECT range AS k, CAST(floor(-ln(1 - ((range * 2654435761) % 1000000 + 0.5::DOUBLE) / 1000000 * (1 - exp(-3.0::DOUBLE))) / 3.0::DOUBLE * 1000000) AS BIGINT) + CASE WHEN range % 1000 = 0 THEN 50000000 ELSE 0 END AS v FROM range(50000)")
+    + """, o AS (SELECT v::DOUBLE AS v FROM s WHERE v < 50000000), m AS (SELECT avg(v) AS mu FROM o),
+mo AS (SELECT avg(pow(v - mu, 2)) AS m2, avg(pow(v - mu, 3)) AS m3, avg(pow(v - mu, 4)) AS m4, any_value(mu) AS mu FROM o, m)
+SELECT (SELECT count(v) FROM s) AS n, round(m3 / pow(m2, 1.5), 9) AS skew, round(m4 / (m2 * m2) - 3, 9) AS kurt, round(mu / nullif((SELECT median(v) FROM o), 0), 9) AS mean_to_median,
+  (SELECT count(*) FROM s, f WHERE v < lo OR v > hi) AS n_outliers, (SELECT count(*) FROM s, f WHERE v < 50000000 AND (v < lo OR v > hi)) AS n_natural, (SELECT hi FROM f) AS hi FROM mo""",
     "gen_skew": "WITH s AS (SELECT CAST(floor(-ln(1 - ((range * 2654435761) % 1000000 + 0.5::DOUBLE) / 1000000 * (1 - exp(-3.0::DOUBLE))) / 3.0::DOUBLE * 1000000) AS BIGINT) + CASE WHEN range % 1000 = 0 THEN 50000000 ELSE 0 END AS v FROM range(50000)) SELECT count(v) AS n, count(DISTINCT v) AS n_distinct, median(v) AS median FROM s",
     "iqr_signed_negatives": exact_rows(src("customer")),
     "iqr_empty": exact_rows(f"SELECT * FROM ({EVENTS}) WHERE v < -1000000"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,7 +85,8 @@ for _method in ("cdf", "zoom", "list", "ordered_set", "row_number", "auto"):
     QUERIES[f"quartiles_{_method}"] = on("events", lambda df, m=_method: quartiles.METHODS[m](df, "v"))
     QUERIES[f"mask_{_method}"] = on("events", lambda df, m=_method: flags.iqr_exact(df, "v", m, keep=("k",)))
 QUERIES |= {
-    "quartiles_approx": on("events", lambda df: quartiles.approximate(df, "v")),
+    "quartiles_approx": on("events", lambda df: validate.rank_error(df, "v", quartiles.approximate(df, "v"))),
+    "count_list_events": on("events", lambda df: flags.count_outliers(df, "v", "list")),
     "quartiles_interpolated": on("events", lambda df: quartiles.interpolated(df, "v")),
     "quartile_crosscheck": on("events", lambda df: validate.quartile_crosscheck(df, "v")),
     "fences_floor_vs_true": on("events", lambda df: validate.floor_against_true(df, "v")),
@@ -99,7 +101,7 @@ QUERIES |= {
     "textbook_iqr_cont": on("events", lambda df: flags.textbook_flags(df, "v", keep=("k",))),
     "textbook_hist256": on("events", lambda df: validate.textbook_histogram(df, "v")),
     "multiset_digest": on("events", lambda df: validate.digest(df, "v").select("n", F.col("total").cast("long").alias("total"))),
-    "multiset_hash": on("events", lambda df: validate.digest(df, "v")),
+    "multiset_hash": on("events", lambda df: validate.digest(df, "v").select("n", *(F.col(c).cast("string").alias(c) for c in ("total", "hash_sum")))),
     "shape_stats": on("events", lambda df: validate.shape(df, "v")),
 }
 
@@ -155,17 +157,49 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("positional_zip")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two projections of one file side by side by row position."""
-    rows = parquet.with_row_index(table(spark, sf_dir, "events"))
-    zipped = parquet.positional_zip(rows.select("row_index", "event_id"), rows.select("row_index", "user_id"))
+    rows = parquet.with_position(table(spark, sf_dir, "events"), "event_id", "user_id")
+    zipped = parquet.positional_zip(rows.select("position", "event_id"), rows.select("position", "user_id"))
     return zipped.groupBy("event_id").agg(F.max("user_id").alias("user_id"))
 
 
 @query("rowid_join_check")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags joined back to values by row position: net difference and per-row mismatches."""
-    rows = parquet.with_row_index(table(spark, sf_dir, "events")).select("row_index", F.expr(COLUMNS["events"][2]).alias("v"))
-    flagged = flags.iqr_exact(rows, "v", "cdf", keep=("row_index",)).drop("v")
-    return validate.agreement(flagged, flags.iqr_exact(rows, "v", "zoom", keep=("row_index",)), "row_index")
+    rows = parquet.with_position(table(spark, sf_dir, "events"), "value").select("position", F.expr(COLUMNS["events"][2]).alias("v"))
+    flagged = flags.iqr_exact(rows, "v", "cdf", keep=("position",)).drop("v")
+    return validate.agreement(flagged, flags.iqr_exact(rows, "v", "zoom", keep=("position",)), "position")
+
+
+@query("mask_approximate")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags by approximate quartiles against exact ones: rows, and whether at most two in a thousand differ."""
+    df = values(spark, sf_dir, "events")
+    both = validate.agreement(flags.iqr_exact(df, "v", "approximate", keep=("k",)), flags.iqr_exact(df, "v", "zoom", keep=("k",)), "k")
+    return both.select("n", (F.col("ppm") <= 2000).alias("within"))
+
+
+@query("run_diagnostics")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = values(spark, sf_dir, "events").withColumn("v", F.when(F.col("k") % 3 != 0, F.col("v")))
+    return histogram.diagnostics(df, "v", EXPLICIT)
+
+
+def _spanning(stride: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flags.iqr_flags(f"{sf_dir}/documents.parquet", "n_chars", groups=16, group_rows=20, group_sample=5, stride=stride)
+
+    return run
+
+
+QUERIES |= {"iqr_flags_spanning_first": _spanning(False), "iqr_flags_spanning_strided": _spanning(True)}
+
+
+@query("ctas_three_way")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with the whole mask by each of three arms, and what is in it."""
+    df = values(spark, sf_dir, "events")
+    arms = {"histogram": lambda: flags.iqr_flags(df, "v", window=EXPLICIT, keep=("k",)), "zoom": lambda: flags.iqr_cpu_flags(df, "v", keep=("k",)), "groupby": lambda: flags.iqr_cpu_flags_groupby(df, "v", keep=("k",))}
+    return spark.createDataFrame([(arm, *validate.as_table(make())) for arm, make in arms.items()], "arm string, n long, n_outliers long")
 
 
 @query("half_bin_index_equiv")
@@ -247,6 +281,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet.scan(spark, [f"{sf_dir}/nation.parquet", f"{sf_dir}/nation.parquet"]).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("scan_pruned")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on a file of many row groups in the order of the filtered column: the reader skips all but a few of them."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pruned-{uuid.uuid4().hex}"
+    parquet.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").coalesce(1).sortWithinPartitions("o_orderkey"), folder, row_group_bytes=1 << 14)
+    return parquet.scan(spark, folder, where="o_orderkey BETWEEN 1000 AND 1200")
+
+
 @query("scan_row_groups")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet.row_groups(spark, f"{sf_dir}/orders.parquet").groupBy("path_in_schema").agg(F.sum("num_values").cast("long").alias("n_values"), F.max("type").alias("type"))
@@ -280,6 +322,7 @@ QUERIES |= {
     "gen_drift": lambda spark, sf_dir: flags.count_outliers(datagen.drifting(spark, 200_000, every=1000), "v"),
     "gen_cardinality": lambda spark, sf_dir: flags.count_outliers(datagen.cardinality(spark, 100_000, 1000), "v"),
     "gen_cycle": lambda spark, sf_dir: flags.iqr_exact(datagen.cycle(spark, 8192), "v", "cdf", keep=("i",)),
+    "gen_skew_measure": lambda spark, sf_dir: validate.skew_measure(datagen.skewed(spark, 50_000, 3.0), "v", 50_000_000),
     "gen_skew": lambda spark, sf_dir: validate.shape(datagen.skewed(spark, 50_000, 3.0), "v").select("n", "n_distinct", "median"),
 }
 
@@ -332,6 +375,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.count_outliers(both, "v")
 
 
+@query("compose_select_distinct")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+
+
 @query("compose_distinct")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
@@ -380,7 +428,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("approx_distinct")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, sf_dir, "extprice").agg(F.approx_count_distinct("v").alias("n_distinct"))
+    """The exact number, and whether the approximate one is within 15 percent (three times its stated deviation)."""
+    found = values(spark, sf_dir, "extprice").agg(F.count_distinct("v").alias("n_distinct"), F.approx_count_distinct("v").alias("a"))
+    return found.select("n_distinct", (F.abs(F.col("a") - F.col("n_distinct")) <= 0.15 * F.col("n_distinct")).alias("within"))
 
 
 @query("session_variable")

@@ -1,7 +1,8 @@
 """SQL with the outlier functions as table functions: FROM iqr_flags('file.parquet', 'column') t(v, f).
 
 Spark's own table functions can't take a path and give that file's schema, so calls are resolved before Spark parses the
-text: each becomes a temporary view, planned but not run. Text within quotes and comments is left alone.
+text: each becomes a temporary view. A view is a plan, but finding a window or exact quartiles for it runs small jobs. Text
+within quotes and comments is left alone. release() drops the views that calls have made.
 """
 
 from __future__ import annotations
@@ -52,5 +53,12 @@ def resolve(spark: SparkSession, text: str) -> str:
     return _TOKEN.sub(view, text)
 
 
+def release(spark: SparkSession) -> int:
+    """Drops the session's views of earlier calls; queries that were made from them stay as they are."""
+    made = re.compile(rf"(?:{'|'.join(FUNCTIONS)})_[0-9a-f]{{32}}")
+    names = [t.name for t in spark.catalog.listTables() if t.isTemporary and made.fullmatch(t.name)]
+    return sum(spark.catalog.dropTempView(n) for n in names)
+
+
 def sql(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(resolve(spark, text))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tukeyframe.sources import parquet
+
 #: Multiplier that scatters a counter (the golden ratio of 32 bits).
 SCATTER = 2_654_435_761
 
@@ -46,3 +48,23 @@ def skewed(spark: SparkSession, rows: int, strength: float, levels: int = 1_000_
 def cycle(spark: SparkSession, rows: int, period: int = 10) -> DataFrame:
     """i modulo period: no outliers."""
     return _frame(spark, rows, F.col("id") % period)
+
+
+def codecs(spark: SparkSession, folder: str, rows: int, levels: tuple[int, ...] = (10_000, 1_000_000), every: int = 1000) -> dict[str, str]:
+    """Files of one planted column for each encoding (plain, dictionary), compression (none, snappy) and number of levels: the
+    path of each by name. Every file has rows / every outliers."""
+    found = {}
+    for n in levels:
+        for dictionary in (False, True):
+            for compression in ("none", "snappy"):
+                name = f"{'dictionary' if dictionary else 'plain'}-{compression}-{n}"
+                parquet.write(planted(spark, rows, n, every), f"{folder}/{name}", compression, dictionary=dictionary)
+                found[name] = f"{folder}/{name}"
+    return found
+
+
+def check_cardinality(df: DataFrame, levels: int, column: str = "v") -> None:
+    """An error unless the column has exactly so many distinct values."""
+    found = df.agg(F.count_distinct(column).alias("d")).first()["d"]
+    if found != levels:
+        raise ArithmeticError(f"{found} distinct values instead of {levels}")

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,24 @@ def ordered(df: DataFrame) -> DataFrame:
     return with_row_index(df).orderBy("file_path", "row_index")
 
 
+def _starts(df: DataFrame) -> DataFrame:
+    """(file_path, start): the rows in the files before, by name, for a scan with file_path and row_index."""
+    sizes = df.groupBy("file_path").agg((F.max("row_index") + 1).alias("size"))
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    return sizes.select("file_path", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("start"))
+
+
+def with_position(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns of a scan (all if none are named) with position: each row's place (from 0) over all files in the order of
+    their names. Files may be split between tasks; what is gathered is a number a file."""
+    rows = with_row_index(df if not columns else df.select(*columns))
+    placed = rows.join(F.broadcast(_starts(rows)), "file_path")
+    return placed.withColumn("position", F.col("start") + F.col("row_index")).drop("file_path", "row_index", "start")
+
+
 def positional_zip(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows at equal positions side by side: an equi-join on row_index, which both must have (one file each)."""
-    return left.join(right, "row_index", "full")
+    """Rows at equal positions side by side: an equi-join on position (see with_position), of which each side has one row."""
+    return left.join(right, "position", "full")
 
 
 def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -40,31 +55,52 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return facts.select(F.inline(each))
 
 
+FOOTER = (
+    "file_name string, row_group_id int, row_group_num_rows long, column_id int, path_in_schema string, type string, "
+    "compression string, encodings string, num_values long, total_compressed_size long, total_uncompressed_size long, has_dictionary boolean, stats_min string, stats_max string"
+)
+
+
+def _chunks(name: str, meta) -> Iterator[tuple]:
+    for g in range(meta.num_row_groups):
+        group = meta.row_group(g)
+        for c in range(group.num_columns):
+            chunk = group.column(c)
+            s = chunk.statistics
+            ends = (str(s.min), str(s.max)) if s is not None and s.has_min_max else (None, None)
+            yield name, g, group.num_rows, c, chunk.path_in_schema, chunk.physical_type, chunk.compression, ",".join(chunk.encodings), chunk.num_values, chunk.total_compressed_size, chunk.total_uncompressed_size, chunk.has_dictionary_page, *ends
+
+
 def row_groups(spark: SparkSession, path: str) -> DataFrame:
-    """The footers of Parquet files as rows, a row a column chunk. Only footers are parsed, each in a task of its own file."""
-    schema = (
-        "file_name string, row_group_id int, row_group_num_rows long, column_id int, path_in_schema string, type string, "
-        "compression string, encodings string, num_values long, total_compressed_size long, total_uncompressed_size long, has_dictionary boolean, stats_min string, stats_max string"
-    )
+    """The footers of Parquet files as rows, a row a column chunk.
+
+    Files are listed by Spark and opened in tasks through pyarrow's file systems, which read the end of a file only. Files
+    in a store that pyarrow doesn't know come whole through Spark.
+    """
+    import pyarrow as pa
+    from pyarrow import fs
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    some = files.select("path").first()
+    try:
+        known = some is None or fs.FileSystem.from_uri(some["path"]) is not None
+    except pa.ArrowInvalid:
+        known = False
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
         import pyarrow.parquet as pq
 
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                meta, rows = pq.read_metadata(pa.BufferReader(content)), []
-                for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    for c in range(group.num_columns):
-                        chunk = group.column(c)
-                        s = chunk.statistics
-                        ends = (str(s.min), str(s.max)) if s is not None and s.has_min_max else (None, None)
-                        rows.append((name, g, group.num_rows, c, chunk.path_in_schema, chunk.physical_type, chunk.compression, ",".join(chunk.encodings), chunk.num_values, chunk.total_compressed_size, chunk.total_uncompressed_size, chunk.has_dictionary_page, *ends))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
-    return files.mapInPandas(footers, schema)
+            for row in batch.itertuples():
+                if known:
+                    store, name = fs.FileSystem.from_uri(row.path)
+                    with store.open_input_file(name) as data:
+                        meta = pq.read_metadata(data)
+                else:
+                    meta = pq.read_metadata(pa.BufferReader(row.content))
+                yield pd.DataFrame(list(_chunks(row.path, meta)), columns=[x.split()[0] for x in FOOTER.split(", ")])
+
+    return files.select(*(["path"] if known else ["path", "content"])).mapInPandas(footers, FOOTER)
 
 
 def check_types(spark: SparkSession, path: str) -> None:

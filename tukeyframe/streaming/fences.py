@@ -30,7 +30,7 @@ class RunningFences:
     def fences(self) -> DataFrame:
         """(q1, q3, lo, hi) of all rows so far."""
         counted = self.spark.read.parquet(f"{self.folder}/{self.last}")
-        return algebra.fences(quartiles.cdf_of_counts(counted), counted.schema["v"].dataType)
+        return algebra.fences(quartiles.zoom(counted, "v", "n"), counted.schema["v"].dataType)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
