@@ -1,7 +1,13 @@
 """The corpus pipeline: stages that each work on all that the stage before has kept.
 
 Language ID drops documents that it rejects, near-dedup keeps one document of each group, decontamination drops documents
-that hold benchmark items, the secret scan redacts what it finds, and packing gives each document its places in sequences.
+that hold benchmark items, the secret scan redacts what it finds, and packing cuts what is left into sequences with its text.
+
+Defined results: documents with a null or empty text, or without letters, go in the first stage; rows with a null doc_id
+are never duplicates nor contaminated, and stay; of rows that repeat an id and a text one stays, and rows of one id and
+different texts are duplicates or not by their texts; texts of any length are read whole; an empty table, or an empty
+benchmark, gives what the stages give for it: an empty result, or no document less. Further columns of documents pass through
+all stages but the last, whatever their names; n_chars is optional and follows the text.
 """
 
 from __future__ import annotations
@@ -29,11 +35,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a placeholder; n_chars follows the new text."""
-    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document, with its bin and place."""
+    """A row for each piece of a document, with its span, text, bin and place: a bin's rows by bin_offset are a sequence."""
     return packing.pack_documents(docs)
 
 
