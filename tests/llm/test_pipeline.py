@@ -37,11 +37,37 @@ def test_stages_against_brute_force(spark):
     assert all(not secrets.spans(r.text) and r.n_chars == len(r.text) for r in now)
     assert all(a.text == b.text for a, b in zip(was, now, strict=True) if not secrets.spans(a.text))
     was, now = steps["packing"]
-    tokens = {}
+    pieces = {}
+    for r in sorted(now, key=lambda r: r.piece):
+        pieces[r.doc_id] = pieces.get(r.doc_id, "") + r.text
+    assert pieces == {r.doc_id: r.text for r in was}
+    bins = {}
     for r in now:
-        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
-    assert tokens == {r.doc_id: -(-len(r.text.encode()) // 4) for r in was}
-    assert all(r.capacity in packing.CAPACITIES for r in now)
+        bins.setdefault((r.bin_id, r.capacity), []).append((r.bin_offset, r.n_tokens))
+    for (_, capacity), own in bins.items():
+        ends = [a + n for a, n in sorted(own)]
+        assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and capacity == min(c for c in packing.CAPACITIES if c >= ends[-1])
+
+
+def test_clashing_columns_and_odd_rows(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = "the quiet river runs past the old mill and " * 20_000
+    rows = [(i, f"document number {i} of this set says that {w} is {w} and nothing else today", "en") for i, w in enumerate("one two three four five six seven eight nine ten eleven".split())]
+    rows += [(20, long, "en"), (None, "a document without an id that is kept as it is", "en"), (21, None, "en"), (22, "", None), (23, rows[3][1], "en"), (3, rows[3][1], "en")]
+    names = "score double, lang_pred string, _key long, _found string, shard string, contaminated long, spans string"
+    extra = (0.25, "mine", 7, "found", "s", 8, "t")
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, lang string, " + names)
+    before = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        before = stage(spark, before, str(tmp_path))
+        assert before.columns == docs.columns
+    kept = before.collect()
+    assert sorted((r.doc_id for r in kept), key=str) == sorted([*range(11), 20, None], key=str)
+    assert all(tuple(r)[3:] == extra for r in kept) and max(len(r.text) for r in kept) == len(long)
+    empty = docs.limit(0)
+    for _, stage in pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.collect() == []
 
 
 def test_registered():
