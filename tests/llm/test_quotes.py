@@ -27,6 +27,12 @@ ROWS = [
     (None, 1, "> First message here."),
     (1, None, "> First message here."),
     (1, 3, "> Another paragraph.\nAbout the other thing."),
+    (6, 0, "ok"),
+    (6, 1, "This is a first long line.\nand a second one\nand a third one"),
+    (6, 2, "and a second one"),
+    (6, 3, "> ok\nmentions nothing"),
+    (6, 4, "> This is a first long line.\n> and a second one\n> and a third one\n\n> and a second one\nall of turn 1"),
+    (6, 5, "> mentions nothing\n\n> This is a first long line.\n> something else\nthe passage counts"),
     *((5, i, (f"> message number {i - 1}\n" if i else "") + f"message number {i}") for i in range(40)),
 ]
 
@@ -55,3 +61,25 @@ def test_expected_links(spark):
 
 def test_empty_table(spark):
     assert quotes.conversations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_passages_count_before_lines_and_short_quotes_not_at_all(spark):
+    got = {r.turn: r for r in quotes.conversations(spark.createDataFrame([(*r, "x") for r in ROWS], SCHEMA)).collect() if r.conv_id == 6}
+    assert [got[t].reply_to for t in range(6)] == [None, None, None, None, 1, 3]
+    assert [t for _, t in sorted((got[t].position, t) for t in got)] == [0, 1, 4, 2, 3, 5]
+
+
+def test_positions_of_a_conversation_over_many_partitions(spark):
+    rows = [(1, i, f"> this is message number {i - 2}\nthis is message number {i}") for i in range(300)] + [(None, 1, "x"), (1, None, "y"), (2, 5, "z")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = quotes.conversations(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.turn for r in sorted((r for r in got if r.conv_id == 1 and r.turn is not None), key=lambda r: r.position)] == [*range(0, 300, 2), *range(1, 300, 2)]
+    assert sorted((r.position for r in got if r.conv_id == 1 and r.turn is not None)) == list(range(1, 301))
+    assert {(r.conv_id, r.turn): r.position for r in got if r.conv_id != 1 or r.turn is None} == {(None, 1): None, (1, None): None, (2, 5): 1}

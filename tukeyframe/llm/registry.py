@@ -59,6 +59,11 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def quotation_linking_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over conversations in which every odd turn quotes the one before: links, depths and order that SQL must match."""
+    return quotes.conversations(quotes.with_replies(table(spark, sf_dir, "conversations")))
+
+
 def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return cotrain.score(documents, cotrain.fit(documents, table(spark, sf_dir, "labels")))
@@ -66,6 +71,7 @@ def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quotation_linking": op1_quotation_linking,
+    "quotation_linking_replies": quotation_linking_replies,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_extendible_hashing": op4_extendible_hashing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
@@ -80,6 +86,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quotation_linking": quotes.SQL.format(table="conversations"),
+    "quotation_linking_replies": quotes.SQL.format(table=quotes.REPLIES_SQL),
     # base32 takes five bits at a time, which lie within two digits of the hexadecimal digest
     "op2_warc_normaliser": """
 WITH p AS (
