@@ -58,3 +58,25 @@ def test_repeated_rows(spark):
     rows = [(0, [1.0], 0), (0, [1.0], 0), (1, [0.5], 0), (1, [0.5], 0), (2, [2.0], 0)]
     got = topk.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0, k=3).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(2, 2 * 1024**2), (1, 1024**2 // 2), (1, 1024**2 // 2)]
+
+
+def test_short_vectors_are_not_read(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SEEDS", 40)
+    rows = [(i, [x * (30.0 if i < 40 else 0.5) for x in v], 0) for i, v, _ in vectors(800, 6, 8, 1.0)]
+    seen = []
+    least = topk.Search.least_length
+
+    def noted(self):
+        seen.append(least(self))
+        return seen[-1]
+
+    monkeypatch.setattr(topk.Search, "least_length", noted)
+    got = topk.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 40 == 0, k=3).collect()
+    assert {tuple(r) for r in got} == plain(rows, 3, 40)
+    assert seen and seen[0] > 0
+
+
+def test_long_vectors_and_one_vector_many_times(spark):
+    rows = vectors(12, 5000, 2, 1.0) + [(100 + i, [0.5] * 5000, 0) for i in range(60)]
+    docs = spark.createDataFrame([(*r, "x", True) for r in rows], SCHEMA + ", norm string, asked boolean")
+    assert {tuple(r) for r in topk.search(docs, F.col("vec_id") % 10 == 0, k=4).collect()} == plain(rows, 4, 10)

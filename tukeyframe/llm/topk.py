@@ -1,20 +1,21 @@
 """Exact top-k by integer inner product: descending norms, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
 Vectors are quantised to whole numbers. A rotation (the right singular vectors of a bounded sample) gathers most of the
-length in the first coordinates; it only serves the bounds, so the sample can't make a result wrong. Each partition is
-sorted by descending length and read in blocks. A block's bound for a query is the partial sum over the first rotated
-coordinates plus the product of the residual lengths; only pairs whose bound reaches the query's threshold (its k-th best
-score so far, at first among the longest vectors) get the exact integer product, and when a block's largest length
-cannot reach any threshold, the rest of the partition is skipped. Pruning keeps ties: a pair goes only if its bound is below
-the threshold.
+length in the first coordinates; it only serves the bounds, so the sample can't make a result wrong. Once quantised, all vectors
+are written in ranges of descending length, and that table serves every pass. It is read in blocks. A block's bound for
+a query is the partial sum over the first rotated coordinates plus the product of the residual lengths; only pairs whose
+bound reaches the query's threshold (its k-th best score so far, at first among the longest vectors) get the exact
+integer product. A length that reaches no threshold of a pass is a filter on its scan, so whole files and row groups of
+short vectors aren't read, and blocks are skipped likewise. Pruning keeps ties: a pair goes only if its bound is below the
+threshold.
 
 Queries go out in chunks of about ``QUERY_CHUNK`` rows, one pass over the candidates each, so what is broadcast is
 bounded whatever the size of the table. A task emits at most k rows a query, and few beyond the thresholds.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
+Defined results: ids must be whole numbers; vectors that are null or hold null or non-finite components take no part; shorter vectors count as
 padded with zeros; rows that repeat a query's id and vector are one query, whose id excludes all rows with that id;
 repeated candidates each take a rank; ties go to the smaller id; a null id takes no part; an empty table gives no rows;
-a score that 64 bits don't hold is an error.
+a score that 64 bits don't hold is an error; only the id and the vector are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -37,12 +38,12 @@ QUERY_CHUNK, QUERY_BLOCK, ROW_BLOCK = 16_384, 512, 4_096
 EXACT = 2.0**53
 
 
-def quantised(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """Rows that take part: id, x (whole numbers as doubles) and norm."""
+def quantised(vectors: DataFrame, key: str, vector: str, is_query: Column, scale: int = SCALE) -> DataFrame:
+    """Rows that take part: id, x (whole numbers as doubles), norm, and asked."""
     x = F.transform(F.col(vector).cast("array<double>"), lambda v: F.floor(F.lit(float(scale)) * v).cast("double"))
     fine = F.forall(F.col(vector).cast("array<double>"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & fine)
-    return good.select(F.col(key).cast("long").alias("id"), x.alias("x")).withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
+    return good.select(F.col(key).cast("long").alias("id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asked")).withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array | list, width: int) -> np.ndarray:
@@ -74,7 +75,7 @@ class Search:
         self.top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # query, id, score
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> bool:
-        """Takes a block of rows; False if no later row, being no longer, can matter."""
+        """Takes a block of rows; False if none of them is long enough to matter, nor any that is no longer."""
         norms = np.linalg.norm(rows, axis=1)
         longest = norms.max(initial=0.0)
         slack = 1e-9 * self.norm * longest + 1e-3  # rounding of the bounds
@@ -102,6 +103,11 @@ class Search:
         self._keep(found)
         return True
 
+    def least_length(self) -> float:
+        """A length below which no vector reaches any threshold."""
+        reach = np.where(self.norm > 0, self.floor, np.where(self.floor > 0, np.inf, -np.inf)) / np.maximum(self.norm, 1.0)
+        return max(0.0, float(reach.min()) * (1 - 1e-6) - 1e-2) if len(reach) and np.isfinite(reach.min()) else 0.0
+
     def _keep(self, found: list[tuple]) -> None:
         own, ids, scores = (np.concatenate(x) for x in zip(self.top, *found, strict=True))
         order = np.lexsort((ids, -scores, own))
@@ -125,9 +131,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
     """The k best rows for each row of vectors that is a query: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     schema = "query_id long, query_no long, vec_id long, score long"
-    rows = quantised(vectors, key, vector, scale)
-    asked = quantised(vectors.where(is_query), key, vector, scale).select("id", "x").distinct()
+    ranges = [F.desc("norm"), F.xxhash64("id")]  # equal lengths are spread over several ranges
+    found = quantised(vectors, key, vector, is_query, scale).repartitionByRange(*ranges).sortWithinPartitions(F.desc("norm"))
+    rows = scratch.materialise(found, "vectors")
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
+    asked = rows.where("asked").select("id", "x").distinct()
     n_queries = asked.count()
     final = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id")
     if not facts["n"] or not n_queries:
@@ -136,11 +144,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(place < min(1.0, SAMPLE / facts["n"])).limit(2 * SAMPLE).select("x").toArrow()["x"]
     rotation, head = _rotation(_gram_root(_matrix(sample.combine_chunks(), width)))
-    seeds = rows.orderBy(F.desc("norm"), "id").limit(SEEDS).select("id", "x").toArrow()
+    # about as many of the longest vectors; which ones they are only matters for what is pruned
+    longest = rows.agg(F.percentile_approx("norm", max(0.0, 1.0 - SEEDS / facts["n"])).alias("q")).first()["q"]
+    seeds = rows.where(F.col("norm") >= longest).limit(2 * SEEDS).select("id", "x").toArrow()
     seed_ids, seed_rows = seeds["id"].to_numpy(), _matrix(seeds["x"].combine_chunks(), width)
+    by_length = np.argsort(-np.linalg.norm(seed_rows, axis=1), kind="stable")
+    seed_ids, seed_rows = seed_ids[by_length], seed_rows[by_length]
     chunks, parts = -(-n_queries // QUERY_CHUNK), []
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id", "x"), F.lit(chunks)))
+    asked = scratch.materialise(asked.repartitionByRange("chunk").sortWithinPartitions("chunk") if chunks > 1 else asked, "queries")
     for c in range(chunks):
-        mine = asked.where(F.pmod(F.xxhash64("id", "x"), F.lit(chunks)) == c).orderBy("id", "x").toArrow()
+        mine = asked.where(F.col("chunk") == c).select("id", "x").toArrow().sort_by("id")
         if not mine.num_rows:
             continue
         start = Search(mine["id"].to_numpy(), _matrix(mine["x"].combine_chunks(), width), k, rotation, head)
@@ -155,14 +169,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
             state.floor = known.floor.copy()
             for batch in batches:
                 ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), known.q.shape[1])
-                if not all(state.add(ids[at : at + ROW_BLOCK], x[at : at + ROW_BLOCK]) for at in range(0, len(ids), ROW_BLOCK)):
-                    for _ in batches:  # nothing later in this partition can matter
-                        pass
-                    break
+                for at in range(0, len(ids), ROW_BLOCK):
+                    state.add(ids[at : at + ROW_BLOCK], x[at : at + ROW_BLOCK])
             own, found, scores = state.top
             yield pa.RecordBatch.from_arrays([pa.array(state.ids[own], pa.int64()), pa.array(own, pa.int64()), pa.array(found, pa.int64()), pa.array(scores.tolist(), pa.int64())], names=["query_id", "query_no", "vec_id", "score"])
 
-        made = rows.sortWithinPartitions(F.desc("norm")).select("id", "x").mapInArrow(look, schema)
+        made = rows.where(F.col("norm") >= F.lit(start.least_length())).select("id", "x").mapInArrow(look, schema)
         ranked = made.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         parts.append(ranked if chunks == 1 else scratch.materialise(ranked, "topk"))
     out = parts[0]
