@@ -53,3 +53,60 @@ def test_without_labels_or_rows(spark):
     one = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
     assert {r.score for r in cotrain.score(d, cotrain.fit(d, one)).collect()} == {1.0}
     assert cotrain.score(d.limit(0), cotrain.fit(d.limit(0), none)).collect() == []
+
+
+def test_logistic_model_is_at_the_minimum():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(300, 4)) * [1, 5, 0.1, 2], (rng.random(300) < 0.4).astype(float)
+    m = cotrain.fit_logistic(x, y, penalty=2.0)
+    a = np.hstack([np.ones((300, 1)), (x - x.mean(0)) / x.std(0)])
+
+    def loss(w):
+        z = a @ w
+        return (np.logaddexp(0, z) - y * z).sum() + (w[1:] ** 2).sum()
+
+    for k in range(5):
+        for step in (1e-3, -1e-3):
+            assert loss(m.weights + step * np.eye(5)[k]) >= loss(m.weights)
+
+
+def test_rounds_against_a_plain_form():
+    """The same exchange, one row at a time."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.4).astype(float)
+    views = [y[:, None] * 1.5 + rng.normal(size=(400, 3)), y[:, None] + rng.normal(size=(400, 2))]
+    known, pool = [v[:100] for v in views], [v[100:] for v in views]
+    model = cotrain.cotrain(known, y[:100], pool, rounds=3, given=0.04)
+    train = [i for i in range(100) if i % 10 not in (0, 5)]
+    own = [{}, {}]  # pool row -> label that a view was given
+    fit = lambda k: cotrain.fit_logistic(np.array([known[k][i] for i in train] + [pool[k][i] for i in own[k]]), np.array([y[i] for i in train] + list(own[k].values())))
+    share = np.mean([y[i] for i in train])
+    now = [fit(0), fit(1)]
+    for _ in range(3):
+        for k in (0, 1):
+            logit = now[k].logits(pool[k])
+            for label, part in ((1.0, share), (0.0, 1 - share)):
+                sure = sorted((i for i in range(300) if i not in own[1 - k] and (logit[i] > 0) == bool(label) and logit[i] != 0), key=lambda i: (-logit[i] if label else logit[i], i))
+                own[1 - k] |= dict.fromkeys(sure[: max(1, round(0.04 * part * 300))], label)
+        now = [fit(0), fit(1)]
+    assert all(np.allclose(a.weights, b.weights) for a, b in zip(now, model.views, strict=True))
+    for k, (platt, raw) in enumerate(zip(model.platt, now, strict=True)):
+        rows = [i for i in range(100) if i % 10 == 0]
+        assert np.allclose(platt.weights, cotrain.fit_logistic(raw.logits(known[k][rows])[:, None], y[rows]).weights)
+
+
+def test_scores_are_calibrated():
+    rng = np.random.default_rng(3)
+    y = (rng.random(9000) < 0.3).astype(float)
+    views = [y[:, None] + rng.normal(size=(9000, 2)), y[:, None] * 0.7 + rng.normal(size=(9000, 2))]
+    model = cotrain.cotrain([v[:4000] for v in views], y[:4000], [v[4000:5000] for v in views])
+    p = model.score([v[5000:] for v in views])
+    for k in range(3):
+        for low, high in ((0.0, 0.2), (0.2, 0.5), (0.5, 1.0)):
+            of = (p[:, k] >= low) & (p[:, k] < high)
+            assert of.sum() < 50 or abs(p[of, k].mean() - y[5000:][of].mean()) < 0.08
+
+
+def test_long_texts_count_whole():
+    a, b = cotrain.content("word " * 200_000), cotrain.content("word " * 200_000 + "other " * 200_000)
+    assert np.abs(a - b).max() > 0.1 and len(a) == cotrain.CONTENT

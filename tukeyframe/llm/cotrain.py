@@ -1,17 +1,19 @@
 """A quality classifier by co-training on two views: a text's content, and the metadata of its page.
 
 Each view has a logistic model. In every round each model labels the unlabelled pool, and what it is surest of (in the
-classes' proportions) is added, with those pseudo-labels, to the training rows of the other. Platt scaling on held-out
-labelled rows calibrates both views, and a small logistic model of their two logits gives the score.
+classes' proportions) is added, with those pseudo-labels, to the training rows of the other. Of the labelled rows that are
+held out, one half calibrates both views by Platt scaling, and a small logistic model of their calibrated logits, fitted on
+the other half, gives the score: no step is fitted on rows that an earlier one has seen.
 
 Learning takes bounded samples, chosen by the hash of the id: about LABELLED labelled rows and POOL others. Only ids and
 features of these reach the driver, and only weights of fixed size go back. All documents are scored on their whole
-texts in one pass without a shuffle.
+texts, whatever their length, a few rows at a time and in one pass without a shuffle.
 
-Defined results: null and empty texts have zero content features and are scored; null metadata are a value of their own;
+Defined results: ids must be whole numbers; null and empty texts have zero content features and are scored; null metadata are a value of their own;
 a row labelled more than once counts by its mean label; labels outside documents or null are ignored; without labels of
 both classes every score is the share of the positive class (0.5 without any label); repeated rows get equal scores; rows
-with a null id are scored and never learned from; an empty table gives an empty result.
+with a null id are scored and never learned from; an empty table gives an empty result; columns other than doc_id, text,
+source, lang and n_chars are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -27,16 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tukeyframe.llm import shingles
+from tukeyframe.llm.neardup import slices
 
 LABELLED, POOL, ROUNDS, GIVEN = 4_000, 4_000, 5, 0.05
 SOURCES, LANGUAGES = 32, 8
 _LOW = 96  # bytes 32 to 127 count one by one
-CONTENT = _LOW + 9
+#: Places that the hashes of words share.
+WORDS = 256
+CONTENT = _LOW + WORDS + 9
 METADATA = SOURCES + LANGUAGES + 3
 
 
 def content(text: str | None) -> np.ndarray:
-    """Shares of bytes, and shape: lengths of words and lines, how many words and lines differ."""
+    """Shares of bytes and of hashed words, and shape: lengths of words and lines, how many words and lines differ."""
     out = np.zeros(CONTENT)
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     if not len(data):
@@ -47,7 +52,9 @@ def content(text: str | None) -> np.ndarray:
     lines = text.split("\n")
     words = shingles._word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
     length = ends - starts
-    out[_LOW:] = (
+    if len(words):
+        out[_LOW : _LOW + WORDS] = np.sqrt(np.bincount((shingles.mix(words, 3) >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64), minlength=WORDS) / len(words))
+    out[_LOW + WORDS :] = (
         np.sqrt(count[128:].sum() / len(data)),
         np.sqrt(count[10] / len(data)),
         np.log1p(len(data)),
@@ -119,13 +126,14 @@ class Model:
 
 
 def cotrain(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, given: float = GIVEN) -> Model:
-    """labelled and pool: the feature matrices of both views. Every fifth labelled row is held out for calibration."""
+    """labelled and pool: the feature matrices of both views. Of ten labelled rows one is held out for Platt scaling and
+    another one for the combined score; with too few of a class there, all rows serve for both."""
     if len(y) < 20 or y.min() == y.max():
         return Model([], [], None, float(y.mean()) if len(y) else 0.5)
-    held = np.arange(len(y)) % 5 == 0
-    if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
-        held = np.zeros(len(y), bool)
-    test = held if held.any() else np.ones(len(y), bool)
+    first, second = np.arange(len(y)) % 10 == 0, np.arange(len(y)) % 10 == 5
+    held = first | second
+    if any(y[part].min() == y[part].max() for part in (first, second, ~held)):
+        held, first, second = np.zeros(len(y), bool), np.ones(len(y), bool), np.ones(len(y), bool)
     train_y = y[~held]
     rows = [[np.zeros(0, np.int64), np.zeros(0)] for _ in range(2)]  # what each view was given: pool rows and labels
     free = [np.ones(len(pool[0]), bool) for _ in range(2)]
@@ -144,9 +152,9 @@ def cotrain(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], r
                 rows[1 - k] = [np.concatenate([rows[1 - k][0], chosen]), np.concatenate([rows[1 - k][1], np.full(len(chosen), label)])]
                 free[1 - k][chosen] = False
         views = [fit(0), fit(1)]
-    raw = [v.logits(x[test]) for v, x in zip(views, labelled, strict=True)]
-    platt = [fit_logistic(x[:, None], y[test]) for x in raw]
-    both = fit_logistic(np.column_stack([p.logits(x[:, None]) for p, x in zip(platt, raw, strict=True)]), y[test])
+    platt = [fit_logistic(v.logits(x[first])[:, None], y[first]) for v, x in zip(views, labelled, strict=True)]
+    calibrated = [p.logits(v.logits(x[second])[:, None]) for p, v, x in zip(platt, views, labelled, strict=True)]
+    both = fit_logistic(np.column_stack(calibrated), y[second])
     return Model(views, platt, both, float(y.mean()))
 
 
@@ -169,7 +177,7 @@ def _sampled(documents: DataFrame, ids: list[int]) -> dict[int, list[np.ndarray]
     spark = documents.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, y = _features(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(np.hstack([x, y])), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -183,9 +191,9 @@ def _sampled(documents: DataFrame, ids: list[int]) -> dict[int, list[np.ndarray]
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     n_known, n_docs = known.count(), documents.count()
-    chosen = known.where(_place(F.col("doc_id")) < min(1.0, labelled / max(1, n_known))).groupBy("doc_id").agg(F.avg("y").alias("y")).limit(2 * labelled)
+    chosen = known.where(_place(F.col("doc_id")) < min(1.0, labelled / max(1, n_known))).groupBy("doc_id").agg(F.avg("y").alias("y"))
     y = {r["doc_id"]: float(r["y"] >= 0.5) for r in chosen.collect()}
-    ids = documents.where(F.col("doc_id").isNotNull() & (_place(F.col("doc_id")) >= 1 - min(1.0, pool / max(1, n_docs)))).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().limit(2 * pool)
+    ids = documents.where(F.col("doc_id").isNotNull() & (_place(F.col("doc_id")) >= 1 - min(1.0, pool / max(1, n_docs)))).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     others = [r["doc_id"] for r in ids.collect()]
     seen = {r["doc_id"] for r in known.join(F.broadcast(documents.sparkSession.createDataFrame(pd.DataFrame({"doc_id": np.array(others, np.int64)}), "doc_id long")), "doc_id", "left_semi").distinct().collect()}
     found = _sampled(documents, sorted({*y, *others}))
@@ -200,7 +208,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """A row for each document: doc_id, p_content, p_metadata, score, accepted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             p = model.score(_features(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= threshold)], names=["doc_id", "p_content", "p_metadata", "score", "accepted"])
 

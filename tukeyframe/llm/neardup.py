@@ -46,7 +46,7 @@ SALT_ROWS = 1000
 DENSE = 4096
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Parts of the batches, so that few rows at a time are Python objects."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
@@ -57,7 +57,7 @@ def describe(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """A row for each document: doc_id, n (size of the set), node (digest of the set), bands; the last two null if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             sets = shingles.shingle_sets(batch.column(1).to_pylist())
             nodes = pa.array([shingles.digest(s) if len(s) else None for s in sets], pa.binary())
             bands = pa.array([shingles.band_keys(shingles.signature(s)) if len(s) else None for s in sets], pa.list_(pa.int64()))
@@ -72,7 +72,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
     """The full sets (64-bit words) of the wanted classes (node, rep), read again from the rows with their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             sets = shingles.shingle_sets(batch.column(0).to_pylist())
             nodes = pa.array([shingles.digest(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
@@ -283,7 +283,7 @@ def _compared(meetings: DataFrame, classes: DataFrame, documents: DataFrame, key
             found.extend((a, b, kind) for a, b in block_forest(nodes, sets, np.array(left, bool), percent) if a != b)
             nodes.clear(), sets.clear(), left.clear()
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for u, node, side, large, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if u != unit:
                     close()
