@@ -15,7 +15,8 @@ windows, or if RUN of them are in one chain, so that an excerpt of a long item i
 
 Items of fewer than SHORTEST tokens are too general for windows: they match a line of a document that has exactly their words.
 
-Only built-in functions are used. The benchmark's windows are counted, and broadcast only up to BROADCAST of them; a
+Only built-in functions are used. In all documents, only windows whose first two tokens may be those of a window of the benchmark,
+by a table of bits, are hashed; slots and alignment are for documents that share a template. The benchmark's windows are counted, and broadcast only up to BROADCAST of them; a
 larger benchmark is joined by shuffling the windows.
 
 Defined results: null and empty texts match nothing, nor do items without a word; items shorter than a window are one window of
@@ -26,6 +27,7 @@ gives no rows; texts are compared whole whatever their length; other columns are
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +35,13 @@ from tukeyframe.llm import scratch
 from tukeyframe.llm.native import fresh, hold
 
 WINDOW, SHORTEST, SHARE, RUN, GAP, SLIP = 8, 5, 0.25, 16, 16, 4
+#: Bits by which windows that begin unlike all of the benchmark's are passed over.
+PAIRS = 1 << 15
 BROADCAST = 1_000_000
 SPACES = " \t\n\r\f\x0B"
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…—–¿¡"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡"
+#: General punctuation, dashes to ellipsis, as a range for use within brackets.
+DASHES = "\u2010-\u2027"
 NAME, NUMBER, UNIT, AMOUNT = "\u0001", "\u0002", "\u0003", "\u0004"
 UNITS = (
     "km m cm mm kg g mg l ml h min s mph kmh mile miles foot feet inch inches yard yards pound pounds ounce ounces dollar dollars "
@@ -48,7 +54,7 @@ def _class(chars: str) -> str:
     return "".join(f"\\{c}" if c in "[]\\^-&~" else c for c in chars)
 
 
-_WS, _UNIT, _SIGNS = _class(SPACES), "|".join(UNITS), _class(PUNCTUATION)
+_WS, _UNIT, _SIGNS = _class(SPACES), "|".join(UNITS), _class(PUNCTUATION) + DASHES
 _END = f"(?![^{_WS}])"
 
 
@@ -80,9 +86,28 @@ def _places(size: Column) -> Column:
     return F.when(F.size("h") >= size, F.sequence(F.lit(1), F.size("h") - size + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def templates(df: DataFrame, keep: list[str], size: Column) -> DataFrame:
-    """A row for each window of size tokens, from tokens() without values: keep, size and the hash t of its template."""
-    return df.select(*keep, size.alias("size"), F.explode(F.transform(_places(size), lambda i: F.xxhash64(F.slice("h", i, size)))).alias("t"))
+def _pair(h: str, i: Column) -> Column:
+    """A number from the hashes of two tokens side by side."""
+    return F.element_at(h, i).bitwiseXOR(F.shiftrightunsigned(F.element_at(h, i + 1), 1))
+
+
+def beginnings(theirs: DataFrame) -> Column:
+    """PAIRS bits as an array of longs: set for the first two tokens of each window of the benchmark (columns first)."""
+    word, place = F.col("first").bitwiseAND(PAIRS // 64 - 1).alias("word"), F.shiftrightunsigned("first", 58).cast("int")
+    bits = theirs.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = {r["word"]: r["bits"] for r in bits.collect()}  # PAIRS / 64 at most
+    return F.lit(np.array([found.get(k, 0) for k in range(PAIRS // 64)], np.int64))  # one literal
+
+
+def templates(df: DataFrame, keep: list[str], size: Column, first: Column) -> DataFrame:
+    """A row for each window of size tokens that begins like one of beginnings(), from tokens() without values: keep, size and
+    the hash t of its template."""
+
+    def begins(i: Column) -> Column:
+        pair = _pair("h", i)
+        return F.getbit(F.element_at(first, (pair.bitwiseAND(PAIRS // 64 - 1) + 1).cast("int")), F.shiftrightunsigned(pair, 58).cast("int")) == 1
+
+    return df.select(*keep, size.alias("size"), F.explode(F.transform(F.filter(_places(size), begins), lambda i: F.xxhash64(F.slice("h", i, size)))).alias("t"))
 
 
 def windows(df: DataFrame, keep: list[str], size: Column, more: dict[str, str] | None = None) -> DataFrame:
@@ -98,7 +123,7 @@ def windows(df: DataFrame, keep: list[str], size: Column, more: dict[str, str] |
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """The windows of classes of items: item_id (the least), n_items, n (windows of the class), size, at, k, v, t, and b: for each
-    token 0, or the number of its slot, negative for numbers and amounts. A row for each distinct v."""
+    token 0, or the number of its slot, negative for numbers and amounts; first is of its first two tokens. A row for each distinct v."""
     items = tokens(benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), F.col(text).alias("text")), F.col("text")).drop("text")
     items = items.where(F.size("h") >= SHORTEST)
     first = F.transform("u", lambda x: F.array_position("u", x).cast("int"))
@@ -110,7 +135,8 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
     items = items.join(classes, "class").withColumn("item_id", F.col("least"))
     size = F.least(F.lit(WINDOW), F.size("h"))
     items = items.withColumn("n", F.size("h") - size + 1)
-    return windows(items, ["item_id", "n_items", "n"], size, {"b": "b"}).distinct()
+    every = windows(items, ["item_id", "n_items", "n"], size, {"b": "b", "start": "h"})
+    return every.withColumn("first", _pair("start", F.lit(1))).drop("start").distinct()
 
 
 def _chains(hits: DataFrame) -> DataFrame:
@@ -169,7 +195,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, ru
     rows = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     # first the documents that share a template at all, then keys, slots and alignment of these
     docs, size = every(rows, ["doc_id"], False)
-    near = templates(docs, ["doc_id"], size).join(join(theirs.select("size", "t").distinct()), ["size", "t"], "left_semi").select("doc_id").distinct()
+    near = templates(docs, ["doc_id"], size, beginnings(theirs)).join(join(theirs.select("size", "t").distinct()), ["size", "t"], "left_semi").select("doc_id").distinct()
     near = scratch.small(scratch.materialise(near, "near-benchmark"))
     docs, size = every(rows.join(near, "doc_id", "left_semi").withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"], True)
     ours = windows(docs, ["doc_id", "row"], size, {"w": "u"}).drop("t")
@@ -205,7 +231,7 @@ SQL = rf"""
 WITH src AS (
   SELECT 'd' AS side, doc_id AS id, text, row_number() OVER () AS r FROM documents WHERE doc_id IS NOT NULL UNION ALL
   SELECT 'b', item_id, text, row_number() OVER () FROM benchmark WHERE item_id IS NOT NULL),
-raw AS (SELECT side, id, r, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[{_sql_class(PUNCTUATION)}]+', '', 'g'), '[{_sql_class(SPACES)}]+'), lambda x: x <> '') AS x FROM src),
+raw AS (SELECT side, id, r, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[{_sql_class(PUNCTUATION)}{DASHES}]+', '', 'g'), '[{_sql_class(SPACES)}]+'), lambda x: x <> '') AS x FROM src),
 tok AS (SELECT side, id, r, unnest(x) AS core, unnest(range(1, len(x) + 1)) AS i FROM raw),
 p AS (SELECT *, coalesce(regexp_matches(lag(core) OVER (PARTITION BY side, r ORDER BY i), '^[0-9]+$'), false) AS amount FROM tok),
 t AS (
@@ -255,7 +281,7 @@ short AS (
   SELECT line, min(id) AS item_id, count(DISTINCT id) AS n_items
   FROM (SELECT id, lower(array_to_string(x, ' ')) AS line FROM raw WHERE side = 'b' AND len(x) BETWEEN 1 AND {SHORTEST - 1}) GROUP BY line),
 lines AS (
-  SELECT DISTINCT doc_id, r, lower(array_to_string(list_filter(string_split_regex(regexp_replace(line, '[{_sql_class(PUNCTUATION)}]+', '', 'g'), '[{_sql_class(SPACES)}]+'), lambda x: x <> ''), ' ')) AS line
+  SELECT DISTINCT doc_id, r, lower(array_to_string(list_filter(string_split_regex(regexp_replace(line, '[{_sql_class(PUNCTUATION)}{DASHES}]+', '', 'g'), '[{_sql_class(SPACES)}]+'), lambda x: x <> ''), ' ')) AS line
   FROM (SELECT id AS doc_id, r, unnest(string_split_regex(coalesce(text, ''), '[\n\r]+')) AS line FROM src WHERE side = 'd'))
 SELECT doc_id, item_id, n_items, CAST(n AS BIGINT) AS n_windows, n_matched, n_matched / n AS coverage, longest
 FROM per JOIN longest USING (r, item_id) JOIN size_of USING (item_id) WHERE n_matched / n >= {SHARE} OR longest >= {RUN}
