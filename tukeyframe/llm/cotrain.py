@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tukeyframe.llm import shingles
+from tukeyframe.llm import scratch, shingles
 from tukeyframe.llm.neardup import slices
 
 LABELLED, POOL, ROUNDS, GIVEN = 4_000, 4_000, 5, 0.05
@@ -212,4 +212,4 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             p = model.score(_features(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= threshold)], names=["doc_id", "p_content", "p_metadata", "score", "accepted"])
 
-    return _columns(documents).mapInArrow(run, "doc_id long, p_content double, p_metadata double, score double, accepted boolean")
+    return scratch.text_batches(_columns(documents)).mapInArrow(run, "doc_id long, p_content double, p_metadata double, score double, accepted boolean")

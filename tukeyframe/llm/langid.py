@@ -37,7 +37,7 @@ from tukeyframe.llm.native import fresh
 ORDER = 5
 DISCOUNT = 0.75
 #: Share of texts in a known language that the limits may reject; and the shortest length class, in powers of two.
-REJECT, SHORTEST = 0.001, 3
+REJECT, SHORTEST = 0.0002, 3
 #: Expected size of the sample of each language, the characters taken of a text, and the languages from which on they share
 #: what so many would take. In all, about SAMPLE_TOTAL characters reach the driver: windows get shorter as languages get more.
 SAMPLE_DOCS = 400
@@ -436,7 +436,7 @@ def _scored(documents: DataFrame, model: Model | None, text: str) -> tuple[DataF
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
     name = fresh(documents, "found")
-    return documents.withColumn(name, score(F.col(text).cast("string"))), name
+    return scratch.text_batches(documents).withColumn(name, score(F.col(text).cast("string"))), name
 
 
 def identify(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

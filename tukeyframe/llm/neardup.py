@@ -65,7 +65,7 @@ def describe(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, nodes, bands], names=["doc_id", "n", "node", "bands"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, node binary, bands array<long>")
+    return scratch.text_batches(rows).mapInArrow(run, "doc_id long, n long, node binary, bands array<long>")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -79,7 +79,8 @@ def _sets(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
 
     ids = scratch.small(scratch.materialise(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "node binary, set binary")
+    found = rows.join(ids, "doc_id", "left_semi").select("text")
+    found = scratch.text_batches(found).mapInArrow(run, "node binary, set binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 

@@ -37,7 +37,7 @@ CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Cost of a sequence beside its tokens.
 OVERHEAD = 16
 #: Characters of a token at most, and bytes of text that a group has on average.
-TOKEN, GROUP_BYTES = 6, 1 << 25
+TOKEN, GROUP_BYTES = 6, 1 << 24
 #: Bytes of text that are cut at once.
 CUT_BYTES = 1 << 22
 _KIND = np.full(256, 3, np.uint8)
@@ -186,7 +186,7 @@ def cut(documents: DataFrame, key: str = "doc_id", text: str = "text", largest:
                 yield _cut(part.column(0), part.column(1), part.column(2), largest)
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, PIECE + ", row long")
+    return scratch.text_batches(rows).mapInArrow(run, PIECE + ", row long")
 
 
 def pack(pieces: DataFrame, groups: int = 1, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, salt: str | None = None) -> DataFrame:
@@ -231,7 +231,7 @@ def pack(pieces: DataFrame, groups: int = 1, capacities: tuple[int, ...] = CAPAC
         if held:
             yield from packed(group, held).to_batches(max_chunksize=4096)
 
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, PIECE + ", bin_id long, capacity int, bin_offset int")
+    return scratch.text_batches(dealt).repartition("group").sortWithinPartitions("group").mapInArrow(run, PIECE + ", bin_id long, capacity int, bin_offset int")
 
 
 def pack_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group_bytes: int = GROUP_BYTES) -> DataFrame:

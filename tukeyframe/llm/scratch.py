@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one or two numbers that may be broadcast: some 30 MB in an executor.
 BROADCAST_ROWS = 1_000_000
+#: Rows with texts that go to a Python worker at once.
+ARROW_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after setting for its session that Python workers get ARROW_ROWS rows at a time at most: batches of whole texts
+    are held by the JVM and the worker at once, and 10,000 of them take hundreds of megabytes of an executor."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files behind a table that materialise() returned."""
     spark = df.sparkSession

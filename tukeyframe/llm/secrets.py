@@ -241,7 +241,7 @@ def scan(documents: DataFrame, text: str = "text", words: tuple[str, ...] | None
         for texts in batches:
             yield pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in spans(t, words, min_bits)] for t in texts], dtype=object)
 
-    return documents.withColumn("spans", find(F.col(text).cast("string")))
+    return scratch.text_batches(documents).withColumn("spans", find(F.col(text).cast("string")))
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -266,7 +266,7 @@ def redact(documents: DataFrame, text: str = "text", placeholder: str = "[SECRET
         for texts in batches:
             yield pd.Series([t if t is None else _without(t, spans(t, words, min_bits), placeholder) for t in texts], dtype=object)
 
-    return documents.withColumn(text, clean(F.col(text).cast("string")))
+    return scratch.text_batches(documents).withColumn(text, clean(F.col(text).cast("string")))
 
 
 def _without(text: str, found: list[tuple[str, int, int]], placeholder: str) -> str:

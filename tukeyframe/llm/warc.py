@@ -192,7 +192,7 @@ def write_monolithic(rows: DataFrame, folder: str, level: int = 1, archive_bytes
             n += 1
             yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    return rows.select("key", "url", "payload", "refers_to", "revisit").mapInArrow(write, "path string")
+    return scratch.text_batches(rows.select("key", "url", "payload", "refers_to", "revisit")).mapInArrow(write, "path string")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
