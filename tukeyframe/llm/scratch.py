@@ -66,6 +66,12 @@ def remove(df: DataFrame) -> None:
         delete(spark, file)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables below the shared folder, also those of other sessions that share it: for when no result
+    that reads them is needed any more."""
+    delete(spark, f"{shared_dir(spark)}/tukeyframe")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
