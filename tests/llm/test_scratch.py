@@ -20,16 +20,31 @@ def test_batches_are_only_made_smaller(spark):
         spark.conf.set(name, before)
 
 
-def test_tables_are_cleared(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        table = scratch.materialise(spark.range(5), "numbers")
-        files = table.inputFiles()
-        assert table.count() == 5 and files
-        scratch.clear(spark)
-        assert not any(tmp_path.iterdir())
-        with pytest.raises(Exception, match="(?i)not.*exist"):
-            spark.read.parquet(files[0])
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_tables_are_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+    table = scratch.materialise(spark.range(5), "numbers")
+    files = table.inputFiles()
+    assert table.count() == 5 and files
+    scratch.clear(spark)
+    assert not [p for p in tmp_path.iterdir() if p.is_dir()]
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(files[0])
+
+
+def test_the_shared_folder_has_a_scheme(spark):
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, name, default=None):
+            return self.value
+
+    class Session:
+        sparkContext = spark.sparkContext
+
+        def __init__(self, value):
+            self.conf = Conf(value)
+
+    assert scratch.shared_dir(Session("/tmp/some/")) == scratch.shared_dir(Session("file:///tmp/some")) == "file:///tmp/some"
+    made = scratch.shared_dir(Session(None))
+    assert made.startswith("file:///") and made == scratch.shared_dir(Session(None))

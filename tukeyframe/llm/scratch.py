@@ -6,6 +6,7 @@ names in ``spark.checkpoint.dir``; only where that is unset (a local session) is
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,15 +19,23 @@ BROADCAST_ROWS = 1_000_000
 ARROW_ROWS = 1024
 
 
+#: Folders made for local sessions that name none, by application.
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI, without a trailing slash."""
+    """The shared folder's URI, with its scheme and without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tukeyframe-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _made:
+            _made[app] = f"file://{tempfile.mkdtemp(prefix='tukeyframe-')}"
+        found = _made[app]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", whole).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
